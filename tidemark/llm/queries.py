@@ -24,6 +24,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .run_index_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similarity_classes
 
@@ -69,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_run_index_dedup": op3_run_index_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
