@@ -24,6 +24,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
+
+
 def op3_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .run_index_dedup import remove_repeats
 
@@ -75,6 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op3_run_index_dedup": op3_run_index_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_classifier": op5_quality_classifier,
