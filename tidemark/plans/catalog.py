@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import bytes_queries, state_queries, txn_queries
+
+QUERIES = state_queries.QUERIES | bytes_queries.QUERIES | txn_queries.QUERIES
+ORACLE_SQL = state_queries.ORACLE_SQL | bytes_queries.ORACLE_SQL | txn_queries.ORACLE_SQL
