@@ -1,26 +1,80 @@
-"""Corpus pipeline: a list of stages, each of which reads what the one before it kept."""
+"""Corpus pipeline: each stage reads what the one before it kept, written and read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidemark.llm._common import stage, table
+from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.jaccard_join import similarity_classes
+from tidemark.llm.language_id import identify
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.queries import tokenizer_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, with the length of the text as it is now."""
+    return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognised language and sets ``lang`` to the one found.
+
+    A verdict goes by the text, the declared language and the source, so equal rows share it.
+    """
+    found = identify(docs)
+    verdict = found.where("not rejected").select("_key", "language").dropDuplicates(["_key"])
+    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    return docs.withColumn("_key", key).join(verdict, "_key").select("doc_id", "text", F.col("language").alias("lang"), "source", "n_chars")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that an earlier document or place has; documents of which nothing is left go."""
+    cleaned = dedup_lines(docs)
+    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _documents(cleaned.where((F.col("n_removed") == 0) | left))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class, one row of equal ones; without words each is its own class."""
+    kept = similarity_classes(docs).where("is_first").select("row_key").distinct()
+    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    joined = docs.withColumn("row_key", key).join(kept, "row_key", "left_semi")
+    numbered = joined.withColumn("_n", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    return numbered.where("_n = 1").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    leaked = find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("_key").dropDuplicates()
+    text = F.coalesce("text", F.lit(""))
+    key = F.xxhash64(F.col("doc_id").cast("string"), text, F.length(text))
+    return docs.withColumn("_key", key).join(leaked, "_key", "left_anti").select(*COLUMNS)
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens along the curve."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: Tokenisers, iterative components and matrix factors are beyond SQL; the stages are tested against brute force.
+#: Tokenisers, iterated components and matrix factors are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each one's rows written and read again."""
+    """The stages in order over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
