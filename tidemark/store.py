@@ -172,7 +172,7 @@ class KVStore:
             | F.col("op").isNull()
             | ((F.col("op") == PUT) & F.col("value").isNull())
             | (F.octet_length("key") > MAX_KEY_BYTES)
-            | (F.octet_length("value") > MAX_VALUE_BYTES)
+            | F.coalesce(F.octet_length("value") > MAX_VALUE_BYTES, F.lit(False))
             | (F.col("seq") < 0)
         )
         facts = rows.agg(
