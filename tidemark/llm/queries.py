@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .oracle import QUALITY_RULES, SHARDING
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +40,7 @@ def op3_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similarity_classes
 
-    return similarity_classes(table(spark, sf_dir, "documents")).drop("row_key")
+    return similarity_classes(table(spark, sf_dir, "documents")).drop("row_key", "is_first")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,4 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op7_sharding": SHARDING}
