@@ -18,10 +18,12 @@ FEATURES = 8192
 #: A text counts as at most this many independent features: neighbouring ones overlap and repeat.
 TEXT_WEIGHT = 60.0
 #: A language is a candidate from this many declared documents on.
-MIN_DECLARED = 20
+MIN_DECLARED = 5
 #: Pseudo-counts by which a suffix leans on all documents and a host on its suffix.
 SUFFIX_LEAN, HOST_LEAN, DECLARED_LEAN = 50.0, 20.0, 1.0
 UNKNOWN = "und"
+#: Parts that the rows of one host are dealt to.
+SALTS = 32
 
 _NO_LETTER = bytes(0x20 if i < 0x41 or 0x5B <= i < 0x61 or 0x7B <= i < 0x80 else i + 0x20 if 0x41 <= i < 0x5B else i for i in range(256))
 
@@ -190,8 +192,9 @@ def identify(
                 "_suffix", "_host", F.array(*[F.log((F.col(f"c{i}") + HOST_LEAN * F.col(f"s{i}")) / (total("c") + HOST_LEAN)) for i in range(size)]).alias("_prior")
             )
         )
-        # sums of languages and hosts are few rows; Spark broadcasts them below its measured limit and splits a large host otherwise
-        fused = scored.join(priors, ["_suffix", "_host"], "left")
+        # a host may hold a third of all rows: its one row of priors is dealt out SALTS times
+        salted = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        fused = scored.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_suffix", "_host", "_salt"], "left")
         default = F.array(*[F.lit(float(np.log(b))) for b in base])
         row = F.create_map(*[x for j, c in enumerate(codes) for x in (F.lit(c), F.array(*[F.lit(float(told[i, j])) for i in range(size)]))])
         add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
