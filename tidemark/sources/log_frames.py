@@ -45,9 +45,8 @@ def read_frames(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path, *r) for r in parse(bytes(content))]
-                yield pd.DataFrame(rows, columns=["source", "position", "length", "status", "payload"])
+            rows = [(path, *r) for path, content in zip(pdf["path"], pdf["content"], strict=True) for r in parse(bytes(content))]
+            yield pd.DataFrame(rows, columns=["source", "position", "length", "status", "payload"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
