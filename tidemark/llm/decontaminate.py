@@ -26,16 +26,18 @@ from ._common import BINARY, DOUBLE, INT, LONG, cut, schema, stage
 #: Words of a block; a passage is two, so it holds each run of BLOCK words and most of a run of two blocks.
 BLOCK = 32
 #: Words in more than this share of the items (and in more than COMMON_LEAST) do not tell items apart.
-COMMON_SHARE, COMMON_LEAST = 0.015, 3
+COMMON_SHARE, COMMON_LEAST = 0.01, 2
+#: An item with fewer words left gets back its rarest ones, up to this many, that at most FILL_SHARE of the items have.
+LEAST_WORDS, FILL_SHARE = 9, 0.05
 #: Dimensions of the latent space, and surplus ones of the random test matrix.
-RANK, SURPLUS = 256, 32
+RANK, SURPLUS = 224, 16
 #: Cosine from which a passage is checked. Low: the check decides.
 MIN_COSINE = 0.18
 #: Share of an item's words found in order: enough alone, or enough with the answer.
 MIN_COMMON, MIN_PARAPHRASE, MIN_ANSWER = 0.8, 0.6, 0.8
 #: Items handled at a time: about as many as the latent space has dimensions. The vocabulary and the factors
 #: that tasks hold are bounded by it.
-ITEMS = 220
+ITEMS = 200
 _TERMS = 64
 
 _WORD = re.compile(r"[^\W_]+")
@@ -82,13 +84,15 @@ class Item:
 
 
 def vocabulary(items: list[Item]) -> dict[str, int]:
-    """Number of each word that few items have; all words of an item that would have none left."""
+    """Number of each word that few items have, with enough words of each item."""
     count = Counter(w for item in items for w in set(item.words))
     most = max(COMMON_LEAST, COMMON_SHARE * len(items))
     kept = {w for w, n in count.items() if n <= most}
     for item in items:
-        if sum(w in kept for w in set(item.words)) < 3:
-            kept.update(item.words)
+        own = sorted(set(item.words), key=lambda w: (count[w], w))
+        kept.update(w for w in own[:LEAST_WORDS] if count[w] <= FILL_SHARE * len(items))
+        if not kept.intersection(own):
+            kept.update(own)
     return {w: i for i, w in enumerate(sorted(kept))}
 
 
