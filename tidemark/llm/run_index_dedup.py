@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LONG, STRING, cut, schema, stage
+from ._common import BOOL, LONG, STRING, cut, schema, stage
 from .jaccard_join import _mix, _powers
 
 WINDOW = 200
 GRAM = 32
 #: Bytes of passages in one index.
 INDEX_BYTES = 1 << 20
-#: Groups with more different passages are dealt out by window instead of indexed in one task.
-MAX_GROUP = 1500
+#: Groups with more different passages (about 1.5 MB) are dealt out by window instead of indexed in one task.
+MAX_GROUP = 4096
 #: Long texts are read in blocks of this many bytes, which overlap by a window.
 BLOCK = 1 << 21
 
@@ -156,9 +156,16 @@ def _ranges(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find_passages(keyed: DataFrame) -> DataFrame:
-    out = schema(gram=LONG, content=LONG, key=LONG, span=LONG)
+    """gram, content, key, span, fresh of all passages.
+
+    A task that meets a passage again need not ask others: those rows are not ``fresh`` and stay out of the
+    groups. Once a passage it adds a row without key in their stead, so that the first one, too, is seen to repeat.
+    However many copies there are, a task sends a group two rows for each different passage.
+    """
+    out = schema(gram=LONG, content=LONG, key=LONG, span=LONG, fresh=BOOL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, bool] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -167,8 +174,30 @@ def _find_passages(keyed: DataFrame) -> DataFrame:
                     gram, content, first, count = passages(text.encode("utf-8"))
                     if len(gram):
                         parts.append((gram, content, np.full(len(gram), key), first << 8 | count))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], out.names)
+                if not parts:
+                    continue
+                gram, content, key, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+                fresh, twice = np.ones(len(gram), bool), []
+                for i, c in enumerate((content ^ (gram << 1)).tolist()):
+                    state = met.get(c)
+                    if state is None:
+                        met[c] = False
+                        continue
+                    fresh[i] = False
+                    if not state:
+                        met[c] = True
+                        twice.append(i)
+                columns = [np.append(gram, gram[twice]), np.append(content, content[twice])]
+                gone = np.append(np.zeros(len(key), bool), np.ones(len(twice), bool))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(c, pa.int64()) for c in columns),
+                        pa.array(np.append(key, np.zeros(len(twice), np.int64)), pa.int64(), mask=gone),
+                        pa.array(np.append(span, np.zeros(len(twice), np.int64)), pa.int64(), mask=gone),
+                        pa.array(np.append(fresh, np.ones(len(twice), bool)), pa.bool_()),
+                    ],
+                    out.names,
+                )
 
     return keyed.select("key", "text").mapInArrow(run, out)
 
@@ -176,7 +205,7 @@ def _find_passages(keyed: DataFrame) -> DataFrame:
 def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, heavy, key, span, bytes) of the wanted passages."""
     listed = wanted.groupBy("key").agg(F.collect_set(F.struct("gram", "heavy", "span")).alias("want"))
-    out = schema(gram=LONG, heavy=T.BooleanType(), key=LONG, span=LONG, bytes=T.BinaryType())
+    out = schema(gram=LONG, heavy=BOOL, key=LONG, span=LONG, bytes=T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -261,8 +290,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.length(text)).alias("key"))
-    by_gram, listed = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("content", "key", "span")
-    seen = _find_passages(keyed).select(
+    each = stage(_find_passages(keyed), "passages")
+    # rows without key stand for copies that a task has met; they follow the passage they are like
+    by_gram, listed = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("content", F.asc_nulls_last("key"), "span")
+    seen = each.where("fresh").select(
         "gram",
         "content",
         "key",
@@ -272,13 +303,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("content").over(by_gram).alias("low"),
         F.max("content").over(by_gram).alias("high"),
     )
-    met = seen.where(F.col("before").isNotNull() | F.col("after").isNotNull())
+    met = seen.where(F.col("key").isNotNull() & (F.col("before").isNotNull() | F.col("after").isNotNull()))
     first = F.col("before").isNull() | (F.col("before") != F.col("content"))
     again = (F.col("before") == F.col("content")) | (F.col("after") == F.col("content"))
-    found = stage(met.select("gram", "key", "span", first.alias("first"), F.coalesce(again, F.lit(False)).alias("again"), (F.col("low") != F.col("high")).alias("mixed")), "passages")
+    found = stage(met.select("gram", "key", "span", first.alias("first"), F.coalesce(again, F.lit(False)).alias("again"), (F.col("low") != F.col("high")).alias("mixed")), "met")
 
     start, count = F.shiftright("span", 8), F.col("span").bitwiseAND(F.lit(255))
-    whole = found.where("again").select("key", start.alias("begin"), (start + count + WINDOW - 1).alias("end"))
+    settled = found.where("again").select("key", "span").unionByName(each.where("not fresh").select("key", "span"))
+    whole = settled.select("key", start.alias("begin"), (start + count + WINDOW - 1).alias("end"))
     mixed = found.where("mixed and first")
     large = mixed.groupBy("gram").agg((F.count("*") > MAX_GROUP).alias("heavy"))
     fetched = stage(_fetch(keyed, mixed.join(large, "gram").select("gram", "heavy", "key", "span")), "bytes")
