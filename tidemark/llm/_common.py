@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return done
+
+
+def _release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files: they go when the driver's collector finds their plans unreachable."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -49,6 +57,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{work_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -123,6 +132,37 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Cells of a bitmap over 64-bit ids: 8 MB, whatever the number of ids.
+CELL_BITS = 26
+
+
+def cell_of(column: str) -> str:
+    """SQL for the cell of an id: its leading bits."""
+    return f"shiftrightunsigned({column}, {64 - CELL_BITS})"
+
+
+def cells_of(ids: np.ndarray) -> np.ndarray:
+    return (ids.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
+
+
+def id_bitmap(cells: DataFrame) -> np.ndarray:
+    """Bitmap of the cells ``c``."""
+    parts = cells.groupBy(F.expr("bitmap_bucket_number(c)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect()
+    bits = np.zeros((1 << CELL_BITS) // 8 + 4096, np.uint8)
+    for r in parts:  # buckets of 32,768 bits count from 1; bucket 0 has the number 0 alone
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["k"] * 4096 : r["k"] * 4096 + len(own)] = own
+    return bits
+
+
+def in_bitmap(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each id's cell is set: true for every id that was put in, and for some others."""
+    c = cells_of(ids).astype(np.int64)
+    k = np.where(c > 0, 1 + (c - 1) // 32768, 0)
+    bit = np.where(c > 0, (c - 1) % 32768, 0)
+    return (bits[k * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
+
+
 LONG, INT, STRING, BINARY, DOUBLE, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType(), T.BooleanType()
 
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LONG, STRING, WS, components, cut, schema, stage
+from ._common import LONG, STRING, WS, cell_of, components, cut, id_bitmap, in_bitmap, schema, stage
 
 #: Characters of a shingle; lines with fewer characters than MIN_CHARS are left alone: they are too short to be anyone's copy.
 SHINGLE = 5
@@ -22,6 +22,8 @@ BANDS, ROWS = 9, 5
 BLOCK = 1 << 20
 
 _SLOTS = BANDS * ROWS
+#: Columns of a line's parity sketch.
+_PARITY = [f"parity{k}" for k in range(16)]
 
 
 def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +67,11 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def bands(lines: list[str]) -> np.ndarray:
+def bands(signature: np.ndarray) -> np.ndarray:
     """64-bit bucket of each line in each band, lines x bands."""
-    s = signatures(lines).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
+    s = signature.astype(np.uint64).reshape(len(signature), BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    key = np.repeat(key, len(lines), axis=0)
+    key = np.repeat(key, len(signature), axis=0)
     for r in range(ROWS):
         key = (key ^ s[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(29)
@@ -84,6 +86,65 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """Number of different shingles of each line and the parity of how many fall to each of 1,024 bits, in 16 numbers.
+
+    Two lines' sketches differ in at most as many bits as their sets have elements apart.
+    """
+    width = 64 * len(_PARITY)
+    out = np.zeros((len(lines), 1 + len(_PARITY)), np.int64)
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or end - at < 2048 and size + len(lines[end]) <= BLOCK // 4):
+            size += max(SHINGLE, len(lines[end]))
+            end += 1
+        h, line = _shingle_hashes(lines[at:end])
+        each = np.unique(line << 32 | h.astype(np.int64))
+        line, bit = each >> 32, each & (width - 1)
+        out[at:end, 0] = np.bincount(line, minlength=end - at)
+        odd = np.bincount(line * width + bit, minlength=(end - at) * width).reshape(-1, width) & 1
+        out[at:end, 1:] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+        at = end
+    return out
+
+
+def _apart(p: str, q: str) -> Column:
+    """Lower bound of the shingles that two lines have apart, from the sketches in columns with these prefixes."""
+    return sum((F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c))) for c in _PARITY), F.lit(0))
+
+
+def _may_link(apart: Column, a: Column, b: Column) -> Column:
+    """Sets of a and b elements with so many apart can reach the similarity (apart is counted by 32-bit hashes: 1 to spare)."""
+    return (1 + SIMILARITY) * (apart - 1) <= (1 - SIMILARITY) * (a + b) + 1e-6
+
+
+def _fetched(long: DataFrame, ids: DataFrame) -> DataFrame:
+    """(line_id, line, n, sketch) of ``ids(line_id)``.
+
+    Lines are picked from the texts by a bitmap of fixed size over the ids: they are read again, but only
+    those wanted are shuffled. A bitmap lets some others through and misses none.
+    """
+    shared = long.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(F.expr(cell_of("line_id")).alias("c"))))
+    out = schema(line_id=LONG, line=STRING, n=LONG, **{c: LONG for c in _PARITY})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            fresh = []
+            for k in np.flatnonzero(in_bitmap(own, shared.value)):
+                if own[k] not in seen:
+                    seen.add(int(own[k]))
+                    fresh.append(k)
+            if fresh:
+                some = batch.take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(c, pa.int64()) for c in sketches(some.column(1).to_pylist()).T)], out.names)
+
+    picked = long.select("line_id", "line").mapInArrow(pick, out).join(ids, "line_id", "left_semi")
+    return stage(picked.dropDuplicates(["line_id"]), "lines")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines reach the similarity."""
     both = pairs.join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("tb")), "b").join(
@@ -98,19 +159,26 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, schema(a=LONG, b=LONG))
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(F.col(id_col).cast("string"), text, F.length(text))
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(places, roots): every long enough line's (row_key, doc_id, at, line_id), and (node, root) of linked different lines.
 
-    Equal lines are one line from the start. Two different lines that share a bucket of any band are either
-    verified against each other or end in one class anyway: first each line meets its neighbour and the
-    head of its bucket, then lines of one bucket that are still in different classes meet pairwise.
+    Equal lines are one line from the start. Two different lines that share a bucket of any band are ruled out by
+    their parity sketches, or verified against each other, or end in one class anyway: first each line meets one neighbour and one
+    centre of its buckets, then lines of one bucket that are still in different classes meet pairwise.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = picked.withColumn("row_key", F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary")))
+    picked = picked.withColumn("row_key", _row_key("doc_id", "text"))
     each = picked.select("row_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line", F.lit(WS)))
     long = each.where(F.length("line") >= MIN_CHARS).withColumn("line_id", F.xxhash64("line", F.length("line")))
     places = stage(long.select("row_key", "doc_id", "at", "line_id"), "places")
 
+    out = schema(line_id=LONG, buckets=T.ArrayType(LONG, False))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
@@ -122,41 +190,60 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         seen.add(i)
                         fresh.append(k)
                 if fresh:
-                    ids = batch.column(0).take(pa.array(fresh))
-                    buckets = bands(batch.column(1).take(pa.array(fresh)).to_pylist())
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1), pa.int64()), pa.array(np.repeat(ids.to_numpy(), BANDS), pa.int64())], ["bucket", "line_id"])
+                    some = batch.take(pa.array(fresh, pa.int64()))
+                    flat = bands(signatures(some.column(1).to_pylist())).reshape(-1)
+                    buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([some.column(0), buckets.cast(pa.list_(pa.field("element", pa.int64(), False)))], out.names)
 
-    filed = long.select("line_id", "line").mapInArrow(run, schema(bucket=LONG, line_id=LONG))
-    order = Window.partitionBy("bucket").orderBy("line_id")
-    met = filed.select(
+    known = stage(long.select("line_id", "line").mapInArrow(run, out), "signatures")
+    one_bucket = Window.partitionBy("bucket")
+    met = known.select("line_id", F.explode("buckets").alias("bucket")).select(
         "bucket",
         "line_id",
-        F.lag("line_id").over(order).alias("before"),
-        F.min("line_id").over(Window.partitionBy("bucket")).alias("head"),
-        F.max("line_id").over(Window.partitionBy("bucket")).alias("tail"),
+        F.lag("line_id").over(one_bucket.orderBy(F.xxhash64("bucket", "line_id"), "line_id")).alias("before"),  # another order in each bucket
+        F.min("line_id").over(one_bucket).alias("low"),
+        F.max("line_id").over(one_bucket).alias("high"),
     )
     # copies of a line that other tasks met go; so do buckets of one line
-    once = met.where((F.col("before").isNull() | (F.col("before") != F.col("line_id"))) & (F.col("head") != F.col("tail")))
-    index = stage(once.select("bucket", "line_id", "before", "head"), "buckets")
-    live = index.select("line_id").distinct()
-    # one text a line: the others are copies of it
-    lines = stage(long.select("line_id", "line").join(live, "line_id").groupBy("line_id").agg(F.min("line").alias("line")), "lines")
-
-    near = index.select(F.col("line_id").alias("a"), F.explode(F.array("before", "head")).alias("b")).where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    links = cut(_verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), lines))
+    index = stage(met.where((F.col("before").isNull() | (F.col("before") != F.col("line_id"))) & (F.col("low") != F.col("high"))).select("bucket", "line_id", "before"), "buckets")
+    live = index.groupBy("line_id").agg(F.count("*").alias("buckets"))
+    lines = _fetched(long, live.select("line_id"))
+    side = lambda k: lines.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
+
+    # each line meets the nearest of its neighbours and of the centres of its buckets; a bucket's centre is
+    # its line in most buckets, such as the one that others are edited copies of
+    centres = index.join(live, "line_id").groupBy("bucket").agg(F.max(F.struct("buckets", F.col("line_id").alias("b"))).alias("x")).select("bucket", F.col("x.b").alias("centre"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("centre").alias("b")))).alias("x")
+    pairs = index.join(centres, "bucket").select(F.col("line_id").alias("a"), sides).select("a", "x.kind", "x.b").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    gap = _apart("a", "b")
+    close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(gap, F.col("n_a"), F.col("n_b")))
+    best = close.groupBy("a", "kind").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("x"))
+    near = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    links = cut(_verified(near, lines))
     roots = components(links)
     classed = index.select("bucket", "line_id").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     spread = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    mixed = cut(classed.join(spread.select("bucket", "low"), "bucket"))
-    right = mixed.select("bucket", F.col("line_id").alias("b"), F.col("root").alias("rb"), F.col("low").alias("lb"))
-    apart = (
+    mixed = stage(classed.join(spread.select("bucket", "low"), "bucket").join(lines.drop("line"), "line_id"), "mixed")
+    right = mixed.select("bucket", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("line_id", "root", "n", *_PARITY)])
+    gap = _apart("", "b_")
+    met = (
         mixed.where(F.col("root") != F.col("low"))
         .join(right, "bucket")
-        .where((F.col("root") != F.col("rb")) & ((F.col("rb") == F.col("lb")) | (F.col("line_id") < F.col("b"))))
-        .select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b"))
-        .distinct()
+        .where((F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("line_id") < F.col("b_line_id"))) & _may_link(gap, F.col("n"), F.col("b_n")))
+        .select(F.least("line_id", "b_line_id").alias("a"), F.greatest("line_id", "b_line_id").alias("b"), gap.alias("gap"))
     )
-    more = cut(_verified(apart, lines))
+    # what was verified before needs no second look
+    possible = cut(met.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(near, ["a", "b"], "left_anti"))
+    # the nearest partner of each line first: most that it shows to be linked need no further look
+    closest = possible.unionByName(possible.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap")).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x"))
+    closest = cut(closest.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    links = cut(links.unionByName(_verified(closest, lines)))
+    roots = components(links)
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = possible.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = cut(rest.join(closest, ["a", "b"], "left_anti"))
+    more = cut(_verified(rest, lines))
     return places, components(links.unionByName(more))
 
 
@@ -186,7 +273,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.collect_list("at").alias("_gone"), F.sum(F.col("fuzzy").cast("long")).alias("_fuzzy"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).cast("binary"))
+    key = _row_key(id_col, text_col)
     split = F.split(text, "\n")
     # kept places as a set difference, then their lines: linear in the lines of a text
     keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
