@@ -5,8 +5,9 @@ Chang, "Leveraging set relations in exact set similarity join", 2017, restated f
 
 * index level: an index list is ordered by set size, so each entry meets its neighbours and the list's
   head; entries of other sizes and places are skipped by bounds on size and position;
-* answer level: once a set is linked to a class its answers follow from the class's, and a whole list whose
-  entries are of one class is skipped. Only entries of different classes meet pairwise.
+* answer level: a set that is linked to another one has its class's answers, so a list whose entries are of one
+  class is skipped whole. Others are told apart by parity sketches, whose difference bounds the sets', and each
+  set's nearest partner is compared first: what it answers for the set and its class is not asked again.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import INT, LONG, STRING, components, cut, schema, stage
+from ._common import INT, LONG, STRING, cell_of, cells_of, components, cut, id_bitmap, in_bitmap, schema, stage
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
@@ -28,11 +29,14 @@ NUM, DEN = 80, 100
 
 #: Shingles whose cell holds more index entries than this go to the end of the global order.
 FREQUENT = 32
-#: Cells of the frequency table; its bitmap (8 MB) is what each task gets.
-CELL_BITS = 26
+#: Entries from which a list counts as long: its neighbours are worth a look even if they share no more.
+LONG_LIST = 16
 #: Texts are hashed in blocks of this many bytes.
 BLOCK = 1 << 22
 
+#: Columns of a parity sketch.
+_PARITY = [f"parity{k}" for k in range(4)]
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
@@ -109,10 +113,6 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _cells(values: np.ndarray) -> np.ndarray:
-    return (values.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int32)
-
-
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
 
@@ -123,22 +123,32 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield whole.slice(at, rows)
 
 
+def parity(values: np.ndarray) -> list[int]:
+    """Parity sketch: bit b says whether an odd number of elements falls to b.
+
+    The exclusive or of two sets' sketches is the sketch of their symmetric difference, so it has at
+    most as many bits set as the sets have elements apart.
+    """
+    odd = np.bincount(values & (64 * len(_PARITY) - 1), minlength=64 * len(_PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _signatures(picked: DataFrame) -> DataFrame:
-    """doc_id, row_key, sid (null: empty set), n, cells of the hash-ordered prefix (once a task and set)."""
-    out = schema(doc_id=picked.schema["doc_id"].dataType, row_key=STRING, sid=LONG, n=LONG, cells=T.ArrayType(INT, False))
+    """doc_id, row_key, sid (null: empty set), n, sketch, cells of the hash-ordered prefix (once a task and set)."""
+    out = schema(doc_id=picked.schema["doc_id"].dataType, row_key=STRING, sid=LONG, n=LONG, **{c: LONG for c in _PARITY}, cells=T.ArrayType(INT, False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
             sets = shingle_sets(batch.column(2).to_pylist())
             ids = [set_id(s) if len(s) else None for s in sets]
-            cells = []
+            cells, sketch = [], zip(*map(parity, sets), strict=True)
             for i, s in zip(ids, sets, strict=True):
                 fresh = i is not None and i not in seen
                 seen.add(i)
-                cells.append(_cells(s[: prefix_length(len(s))]) if fresh else np.zeros(0, np.int32))
+                cells.append(cells_of(s[: prefix_length(len(s))]) if fresh else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.list_(pa.field("element", pa.int32(), False)))],
+                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in sketch), pa.array(cells, pa.list_(pa.field("element", pa.int32(), False)))],
                 out.names,
             )
 
@@ -146,24 +156,12 @@ def _signatures(picked: DataFrame) -> DataFrame:
 
 
 def _frequent(signed: DataFrame) -> np.ndarray:
-    """Bitmap over cells that hold more than FREQUENT index entries; its size is fixed.
+    """Bitmap of the cells that hold more than FREQUENT index entries.
 
     Only the order of elements depends on it: any bitmap gives the same links, a good one short lists.
     """
-    cells = signed.select(F.explode("cells").alias("c")).groupBy("c").count().where(F.col("count") > FREQUENT).select(F.col("c").cast("long").alias("c"))
-    parts = cells.groupBy(F.expr("bitmap_bucket_number(c)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect()
-    bits = np.zeros((1 << CELL_BITS) // 8 + 4096, np.uint8)
-    for r in parts:  # buckets count from 1 and hold 32,768 bits; bucket k covers (k-1)*32768+1 ..., 0 falls to bucket 0
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[r["k"] * 4096 : r["k"] * 4096 + len(own)] = own
-    return bits
-
-
-def _is_frequent(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    c = _cells(values).astype(np.int64)
-    k = np.where(c > 0, 1 + (c - 1) // 32768, c // 32768)
-    bit = np.where(c > 0, (c - 1) % 32768, -c % 32768)
-    return (bits[k * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
+    cells = signed.select(F.explode("cells").alias("c")).groupBy("c").count().where(F.col("count") > FREQUENT)
+    return id_bitmap(cells.select(F.col("c").cast("long").alias("c")))
 
 
 def _postings(picked: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -181,7 +179,7 @@ def _postings(picked: DataFrame, bits: np.ndarray) -> DataFrame:
                     continue
                 seen.add(i)
                 p = prefix_length(len(s))
-                often = _is_frequent(s, table)
+                often = in_bitmap(s, table)
                 first = np.concatenate([s[~often][:p], s[often][: max(0, p - int((~often).sum()))]])
                 tokens.append(first)
                 ids.append(np.full(len(first), i))
@@ -201,20 +199,46 @@ def _enough(common: Column, a: Column, b: Column) -> Column:
     return (DEN + NUM) * common >= NUM * (a + b)
 
 
-def _sets_of(picked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) for ``wanted(row_key, sid)``."""
+def _apart(p: str, q: str) -> Column:
+    """Lower bound of the elements that two sets have apart, from the sketches in columns with these prefixes."""
+    return sum((F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c))) for c in _PARITY), F.lit(0))
+
+
+def _not_too_far(apart: Column, a: Column, b: Column) -> Column:
+    """Sets with so many elements apart can still link: (DEN + NUM) * apart <= (DEN - NUM) * (a + b)"""
+    return (DEN + NUM) * apart <= (DEN - NUM) * (a + b)
+
+
+def _sets_of(picked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, tokens) of the sets in ``pairs(a, b)``, and of some others.
+
+    A bitmap of fixed size over the ids tells tasks which sets to yield, so texts are read again but not
+    shuffled. The more ids it holds, the more needless sets it lets through; none is missed.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    shared = picked.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(F.expr(cell_of("s")).alias("c"))))
     out = schema(sid=LONG, tokens=T.ArrayType(LONG, False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in _slices(batches):
-            sets = shingle_sets(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.field("element", pa.int64(), False)))], out.names)
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+            ids = np.array([set_id(s) for s in sets], np.int64)
+            kept = []
+            for k in np.flatnonzero(in_bitmap(ids, shared.value)):
+                if ids[k] not in seen:
+                    seen.add(int(ids[k]))
+                    kept.append(k)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[kept], pa.int64()), pa.array([sets[k] for k in kept], pa.list_(pa.field("element", pa.int64(), False)))], out.names)
 
-    return picked.select("row_key", "text").join(wanted, "row_key").select("sid", "text").mapInArrow(run, out)
+    # a set that several tasks met comes several times
+    return picked.select("text").mapInArrow(run, out).join(ids.withColumnRenamed("s", "sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(picked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets reach the similarity."""
+    sets = stage(_sets_of(picked, pairs), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(right, "b").join(left, "a")
@@ -222,7 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and row_key of every document.
+    """doc_id, n_shingles, component_id, row_key and is_first (the class's row with the smallest id) of every document.
 
     Two documents link when NUM/DEN of the union of their five-word shingles is common; component_id is the
     smallest id reachable over links. Equal sets are one set from the start, so copies cost one row a
@@ -237,7 +261,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     picked = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     signed = stage(_signatures(picked), "signed")
     bits = _frequent(signed)
-    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    sketches = signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in _PARITY])
+    sketches = cut(sketches)
+    side = lambda k: sketches.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
+    # sets of one size stand in another order in each list, so that a set meets many others of its class as neighbours
+    by_size = Window.partitionBy("token").orderBy("n", F.xxhash64("token", "sid"), "sid")
     listed = _postings(picked, bits).select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
     fields = [F.col("n"), F.col("sid"), F.col("pos")]
     neighbours = listed.select(
@@ -248,53 +276,78 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.lag(F.struct(*fields)).over(by_size).alias("before"),
         F.min("sid").over(Window.partitionBy("token")).alias("low"),
         F.max("sid").over(Window.partitionBy("token")).alias("high"),
+        F.count("*").over(Window.partitionBy("token")).alias("listed"),
         F.first(F.struct(*fields)).over(by_size).alias("head"),
     )
     # a set's second entry in a list comes from another task that met a copy
     once = neighbours.where((F.col("before").isNull() | (F.col("before.sid") != F.col("sid"))) & (F.col("low") != F.col("high")))
-    index = stage(once.select("token", "sid", "n", "pos", F.col("before.sid").alias("before"), F.col("before.n").alias("n_before"), F.col("head.sid").alias("head"), F.col("head.n").alias("n_head")), "index")
-
-    reps = signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row_key").alias("row_key"))
-    live = index.select("sid").distinct()
-    sets = stage(_sets_of(picked, reps.join(live, "sid").select("row_key", "sid")), "sets")
-
-    # neighbours and heads that share a good part of their prefixes: few pairs, most of them links
-    met = index.select(F.col("sid").alias("a"), "n", F.explode(F.array(F.struct(F.col("before").alias("b"), F.col("n_before").alias("nb")), F.struct(F.col("head").alias("b"), F.col("n_head").alias("nb")))).alias("x"))
-    met = met.select("a", "n", "x.b", "x.nb").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _near_sizes(F.col("n"), F.col("nb")))
-    likely = (
-        met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n", "nb").alias("n"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("c"), F.min("n").alias("n"))
-        .where(20 * F.col("c") >= F.col("n"))
-        .select("a", "b")
-    )
-    links = cut(_verified(likely, sets))
+    index = stage(once.select("token", "sid", "n", "pos", F.col("before.sid").alias("before"), F.col("before.n").alias("n_before"), F.col("head.sid").alias("head"), F.col("head.n").alias("n_head"), (F.col("listed") > LONG_LIST).alias("long")), "index")
+
+    # each set and the nearest of those it meets as neighbour, as head and as centre: few pairs, most of them links
+    neighbour = F.struct(F.col("before").alias("b"), F.col("n_before").alias("nb"), F.lit(0).alias("kind"))
+    head = F.struct(F.col("head").alias("b"), F.col("n_head").alias("nb"), F.lit(1).alias("kind"))
+    met = index.select(F.col("sid").alias("a"), "n", "long", F.explode(F.array(neighbour, head)).alias("x")).select("a", "n", "long", "x.b", "x.nb", "x.kind")
+    often = met.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _near_sizes(F.col("n"), F.col("nb"))).groupBy("a", "b", "kind", "n").agg(F.count("*").alias("c"), F.max("long").alias("long"))
+    often = often.where((20 * F.col("c") >= F.col("n")) | F.col("long")).select("a", "b", "kind")
+    # a long list is mostly one large class; its centre is the set in most long lists, the one with fewest elements of its own
+    long = index.where("long").select("token", "sid", "n")
+    central = long.join(long.groupBy("sid").agg(F.count("*").alias("lists")), "sid")
+    centres = central.groupBy("token").agg(F.max(F.struct("lists", F.col("sid").alias("b"), F.col("n").alias("nb"))).alias("x"))
+    around = long.join(centres.select("token", "x.b", "x.nb"), "token").where((F.col("sid") != F.col("b")) & _near_sizes(F.col("n"), F.col("nb")))
+    around = around.select(F.col("sid").alias("a"), "b", F.lit(2).alias("kind")).distinct()
+    gap = _apart("a", "b")
+    close = often.unionByName(around).join(side("a"), "a").join(side("b"), "b").where(_not_too_far(gap, F.col("n_a"), F.col("n_b")))
+    best = close.groupBy("a", "kind").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("x"))
+    likely = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    links = cut(_verified(picked, likely))
     roots = components(links)
 
     # entries of different classes in one list
     classed = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     spread = classed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = cut(classed.join(spread.select("token", "low"), "token"))
+    mixed = stage(classed.join(spread.select("token", "low"), "token").join(sketches.drop("n"), "sid"), "mixed")
     left = mixed.where(F.col("root") != F.col("low"))
-    right = mixed.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("low").alias("lb"))
-    apart = (
+    right = mixed.select("token", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "root", *_PARITY)])
+    # the first common element of a link lies so far in front that enough elements follow it in either set
+    ahead = _enough(F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")), F.col("n"), F.col("b_n"))
+    gap = _apart("", "b_")
+    met = (
         left.join(right, "token")
-        .where((F.col("root") != F.col("rb")) & ((F.col("rb") == F.col("lb")) | (F.col("sid") < F.col("b"))) & _near_sizes(F.col("n"), F.col("nb")))
+        .where((F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("sid") < F.col("b_sid"))) & _near_sizes(F.col("n"), F.col("b_n")))
+        .where(ahead & _not_too_far(gap, F.col("n"), F.col("b_n")))
         .select(
-            F.least("sid", "b").alias("a"),
-            F.greatest("sid", "b").alias("b"),
-            F.when(F.col("sid") < F.col("b"), F.struct(F.col("n").alias("x"), F.col("nb").alias("y"), F.col("pos").alias("p"), F.col("pb").alias("q")))
-            .otherwise(F.struct(F.col("nb").alias("x"), F.col("n").alias("y"), F.col("pb").alias("p"), F.col("pos").alias("q")))
-            .alias("m"),
+            F.least("sid", "b_sid").alias("a"),
+            F.greatest("sid", "b_sid").alias("b"),
+            F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")).alias("left"),
+            (F.col("n") + F.col("b_n")).alias("total"),
+            gap.alias("gap"),
         )
     )
-    # all common elements up to the last common one of both prefixes are counted; the rest is bounded by what follows it
-    bounded = apart.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("m.p").alias("p"), F.max("m.q").alias("q"), F.max("m.x").alias("x"), F.max("m.y").alias("y"))
-    possible = bounded.where(_enough(F.col("c") + F.least(F.col("x") - F.col("p"), F.col("y") - F.col("q")) - 1, F.col("x"), F.col("y"))).select("a", "b")
-    more = cut(_verified(possible, sets))
-    roots = components(links.unionByName(more))
+    # all common elements up to the last common one of both fronts are counted; the rest is bounded by what follows it
+    bounded = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("left").alias("left"), F.max("total").alias("total"), F.max("gap").alias("gap"))
+    possible = bounded.where(_enough(F.col("c") + F.col("left") - 1, F.col("total"), F.lit(0))).select("a", "b", "gap")
+    # what was verified before needs no second look
+    possible = cut(possible.join(likely, ["a", "b"], "left_anti"))
+    # the nearest partner of each set first: most that it shows to be linked need no further look
+    nearest = possible.unionByName(possible.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap")).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x"))
+    nearest = cut(nearest.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    links = cut(links.unionByName(_verified(picked, nearest)))
+    roots = components(links)
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = possible.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = cut(rest.join(nearest, ["a", "b"], "left_anti"))
+    roots = components(links.unionByName(_verified(picked, rest)))
 
     member = signed.select("doc_id", "row_key", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     member = cut(member)
-    lowest = member.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(lowest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key")
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    lowest = member.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(here).alias("first"))
+    alone = F.col("sid").isNull()
+    return member.join(lowest, "root", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "row_key",
+        (alone | (F.col("row_key") == F.col("first.row_key"))).alias("is_first"),
+    )
