@@ -243,6 +243,24 @@ def test_line_dedup(spark, docs, rows, none):
     assert len(true) > 40 and sum(out[a + 100] for a in true) >= 0.9 * len(true)
 
 
+def test_line_dedup_weak_links(spark):
+    """Every pair of similar lines that shares a bucket of any size counts, also one whose lines have nearer partners."""
+    from tidemark.llm.line_dedup import SIMILARITY, bands, dedup_lines, jaccard, signatures
+
+    rnd = random.Random(21)
+    lines = []
+    edited = lambda x, at, n: x[:at] + "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n)) + x[at + n :]
+    for _ in range(300):  # copies of A ~ A ~ A1 - B1 ~ B ~ copies of B: the link in the middle is the weakest
+        inner = sentence(rnd, 24)
+        weak = edited(inner, 50, 8)
+        first, last = edited(inner, 10, 6), edited(weak, 90, 6)
+        lines += [first, edited(first, 30, 1), edited(first, 100, 1), inner, weak, last, edited(last, 20, 1), edited(last, 115, 1)]
+    buckets = [set(b) for b in bands(signatures(lines)).tolist()]
+    root = linked_classes(list(range(len(lines))), list(range(len(lines))), lambda i, j: bool(buckets[i] & buckets[j]) and jaccard(lines[i], lines[j]) >= SIMILARITY)
+    table = spark.createDataFrame([(i, x, "en", "s", 1, "", 1) for i, x in enumerate(lines)], SCHEMA)
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_lines(table).collect()} == {i: int(root[i] != i) for i in range(len(lines))}
+
+
 @pytest.mark.parametrize("group", [4096, 1])
 def test_run_index_dedup(docs, rows, none, group, monkeypatch):
     from tidemark.llm import run_index_dedup as r3

@@ -169,7 +169,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal lines are one line from the start. Two different lines that share a bucket of any band are ruled out by
     their parity sketches, or verified against each other, or end in one class anyway: first each line meets one neighbour and one
-    centre of its buckets, then lines of one bucket that are still in different classes meet pairwise.
+    centre of its buckets, then lines of one bucket that are still in different classes meet pairwise, in buckets
+    of two lines as well.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = picked.withColumn("row_key", _row_key("doc_id", "text"))
@@ -217,7 +218,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = index.join(centres, "bucket").select(F.col("line_id").alias("a"), sides).select("a", "x.kind", "x.b").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     gap = _apart("a", "b")
     close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(gap, F.col("n_a"), F.col("n_b")))
-    best = close.groupBy("a", "kind").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("x"))
+    close = cut(close.select("a", "kind", "b", gap.alias("gap")))
+    best = close.groupBy("a", "kind").agg(F.min(F.struct("gap", "b")).alias("x"))
     near = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
     links = cut(_verified(near, lines))
     roots = components(links)
@@ -232,16 +234,18 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where((F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("line_id") < F.col("b_line_id"))) & _may_link(gap, F.col("n"), F.col("b_n")))
         .select(F.least("line_id", "b_line_id").alias("a"), F.greatest("line_id", "b_line_id").alias("b"), gap.alias("gap"))
     )
+    # buckets of two lines are not mixed: their one pair is a neighbour in ``close``, be it the nearest or not
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    apart = lambda pairs: pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    twos = apart(close.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "gap")).select("a", "b", "gap")
     # what was verified before needs no second look
-    possible = cut(met.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(near, ["a", "b"], "left_anti"))
+    possible = cut(met.unionByName(twos).groupBy("a", "b").agg(F.min("gap").alias("gap")).join(near, ["a", "b"], "left_anti"))
     # the nearest partner of each line first: most that it shows to be linked need no further look
     closest = possible.unionByName(possible.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap")).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x"))
     closest = cut(closest.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
     links = cut(links.unionByName(_verified(closest, lines)))
     roots = components(links)
-    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = possible.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = apart(possible).select("a", "b")
     rest = cut(rest.join(closest, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, lines))
     return places, components(links.unionByName(more))
