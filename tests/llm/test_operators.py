@@ -353,6 +353,29 @@ def test_language_id(spark, docs, rows, none):
     assert found.where("language = declared").count() >= 0.9 * found.count()
 
 
+def test_page_language_id(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    rnd = random.Random(4)
+    word = {"fr": ["bonjour", "maison", "toujours", "quelque"], "de": ["strasse", "zwischen", "haus", "immer"]}
+    pages = []
+    for i in range(400):
+        code = ["fr", "de"][i % 2]
+        body = " ".join(rnd.choice(word[code]) for _ in range(30))
+        noise = "<!-- " + " ".join(word["de" if code == "fr" else "fr"] * 20) + " --><script>var x = '</p>';" + "between " * 50 + "</script>"
+        pages.append((i, f"http://h{i}.example.{code}/x", f'<html lang="{code}"><body>{noise}<p>{body}</p></body></html>'))
+    # one letter, no declared language, a host of its own: only the suffix tells; then only the markup tells
+    pages += [(1000 + i, f"http://new{i}.example.{code}/", "<html><p>1 2 q</p></html>") for i, code in enumerate(["fr", "de"])]
+    pages += [(2000 + i, f"http://other{i}.example.com/", f'<html lang="{code}"><p>1 2 q</p></html>') for i, code in enumerate(["fr", "de"])]
+    pages.append((3000, None, None))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in QUERIES["op10_page_language_id"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and got[3000]["language"] == "und" and got[3000]["rejected"]
+    assert all(got[i]["language"] == got[i]["text_language"] == ["fr", "de"][i % 2] for i in range(400))
+    for at in (1000, 2000):
+        assert [got[at + i]["language"] for i in range(2)] == ["fr", "de"], at
+
+
 def test_quality_classifier(spark, docs, rows, none):
     from tidemark.llm.quality_classifier import quality_scores
 

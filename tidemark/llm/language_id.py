@@ -29,10 +29,15 @@ _NO_LETTER = bytes(0x20 if i < 0x41 or 0x5B <= i < 0x61 or 0x7B <= i < 0x80 else
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Adds ``declared`` (lang of the html element), ``host`` and ``suffix`` (last label) to pages."""
+    """Adds ``declared`` (lang of the html element), ``host``, ``suffix`` (last label) and ``page_text`` (what is left without markup) to pages."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
+    bare = F.col(html_col)
+    # comments, scripts and styles with what they hold, then tags, then character references
+    for markup in (r"(?s)<!--.*?(?:-->|\z)", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", r"</?[A-Za-z!][^>]*>", r"&#?[A-Za-z0-9]+;"):
+        bare = F.regexp_replace(bare, markup, " ")
     return pages.withColumns(
         {
+            "page_text": bare,
             "declared": F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1),
             "host": host,
             "suffix": F.element_at(F.split(host, r"\."), -1),

@@ -80,6 +80,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op10_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 where there are markup and addresses: documents have neither, so their suffix says nothing."""
+    from .language_id import identify, page_evidence
+
+    pages = page_evidence(table(spark, sf_dir, "pages"))
+    return identify(pages, "page_id", "page_text", "declared", "host", "suffix").drop("_key").withColumnRenamed("doc_id", "page_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -91,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op10_page_language_id": op10_page_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op7_sharding": SHARDING}
