@@ -334,6 +334,24 @@ def test_decontamination(spark, docs, rows, none):
         assert common_length(a, b) == best[-1][-1]
 
 
+def test_decontamination_long_items(spark):
+    from tidemark.llm import decontaminate as d
+
+    rnd = random.Random(3)
+    long = [d.Item(n, n, sentence(rnd, rnd.choice([20, 300, 900, 9000]), 10**6)) for n in range(60)]
+    rounds = d.rounds_of(long)
+    assert all(sum(len(i.pieces) for i in r) <= d.RANK for r in rounds)
+    dealt = defaultdict(list)
+    for i in (i for r in rounds for i in r):
+        dealt[i.number] += i.pieces
+    assert dealt == {i.number: i.pieces for i in long}
+    items = [(n, sentence(rnd, 600, 10**6)) for n in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [sentence(rnd, 40 + n, 10**6) + " " + t + " " + sentence(rnd, 90, 10**6) for n, t in items] + [sentence(rnd, 600, 10**6) for _ in range(10)]
+    table = spark.createDataFrame([(n, t, "en", "s", 1, "", 1) for n, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["item_ids"] for r in d.find_leaks(table, bench).collect()} == {n: [n] if n < 30 else [] for n in range(40)}
+
+
 def test_language_id(spark, docs, rows, none):
     from tidemark.llm.language_id import identify, page_evidence
 

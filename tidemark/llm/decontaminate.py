@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ RANK, SURPLUS = 224, 16
 MIN_COSINE = 0.18
 #: Share of an item's words found in order: enough alone, or enough with the answer.
 MIN_COMMON, MIN_PARAPHRASE, MIN_ANSWER = 0.8, 0.6, 0.8
-#: Items handled at a time: about as many as the latent space has dimensions. The vocabulary and the factors
-#: that tasks hold are bounded by it.
+#: Items collected at a time; of their pieces, at most as many as the latent space has dimensions are handled at a
+#: time. The vocabulary and the factors that tasks hold are bounded by it.
 ITEMS = 200
 _TERMS = 64
 
@@ -83,6 +84,22 @@ class Item:
         return 0.0
 
 
+def rounds_of(items: list[Item]) -> list[list[Item]]:
+    """The items dealt to rounds of at most RANK pieces; one with more pieces comes in several rounds, with some of them in each."""
+    rounds: list[list[Item]] = [[]]
+    free = RANK
+    for item in items:
+        for at in range(0, len(item.pieces), RANK):
+            part = copy(item)
+            part.pieces = item.pieces[at : at + RANK]
+            if len(part.pieces) > free:
+                rounds.append([])
+                free = RANK
+            rounds[-1].append(part)
+            free -= len(part.pieces)
+    return [r for r in rounds if r]
+
+
 def vocabulary(items: list[Item]) -> dict[str, int]:
     """Number of each word that few items have, with enough words of each item."""
     count = Counter(w for item in items for w in set(item.words))
@@ -265,6 +282,20 @@ def tfidf(texts: list[list[str]], terms: dict[str, int], weight: np.ndarray) ->
     return out
 
 
+def _leaks(keyed: DataFrame, items: dict[int, Item]) -> DataFrame:
+    """(key, item, score) of the texts that hold one of ``items``, by its id."""
+    terms = vocabulary(list(items.values()))
+    hits = stage(_hits(keyed, terms), "hits")
+    weight = inverse_frequency(hits, len(terms))
+    pieces = [(i.number, p) for i in items.values() for p in i.pieces]
+    vectors = tfidf([p for _, p in pieces], terms, weight)
+    space = latent_space(hits, weight, vectors)
+    near = stage(_near(hits, weight, space, vectors, np.array([n for n, _ in pieces], np.int64)), "near")
+    checked = _check(keyed, near, items)
+    names = F.create_map(*[x for n, i in items.items() for x in (F.lit(n), F.lit(i.ident))])
+    return checked.select("key", F.element_at(names, F.col("item").cast("int")).alias("item"), "score")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending), best_score and _key of every document.
 
@@ -272,7 +303,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     around it as the item has, holds MIN_COMMON of the item's words in order, or MIN_PARAPHRASE of them and
     MIN_ANSWER of the answer's. Words are runs of letters and digits in lower case.
 
-    Items come ITEMS at a time, so what tasks hold does not grow with the benchmark. Null or wordless items
+    Items come in rounds of at most RANK pieces, so neither what tasks hold nor a piece's share of the latent space
+    depends on the size of the benchmark or of its items. Null or wordless items
     match nothing; items with equal text are found together; null item ids are left out of item_ids. Null
     or empty texts are clean. Null or repeated ids and repeated rows: each row is judged by its own text.
     Empty tables: nothing is contaminated. Extra columns are ignored.
@@ -284,22 +316,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = None
     for r in range(rounds):
         part = sound.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == r).orderBy("item", "text").collect()  # about ITEMS rows
-        items = {n: Item(n, row["item"], row["text"]) for n, row in enumerate(part)}
-        items = {n: i for n, i in items.items() if i.words}
-        if not items:
-            continue
-        terms = vocabulary(list(items.values()))
-        hits = stage(_hits(keyed, terms), "hits")
-        weight = inverse_frequency(hits, len(terms))
-        pieces = [(i.number, p) for i in items.values() for p in i.pieces]
-        vectors = tfidf([p for _, p in pieces], terms, weight)
-        space = latent_space(hits, weight, vectors)
-        near = stage(_near(hits, weight, space, vectors, np.array([n for n, _ in pieces], np.int64)), "near")
-        ids = {n: i.ident for n, i in items.items()}
-        checked = _check(keyed, near, items)
-        names = F.create_map(*[x for n, i in ids.items() for x in (F.lit(n), F.lit(i))])
-        one = checked.select("key", F.element_at(names, F.col("item").cast("int")).alias("item"), "score")
-        found = one if found is None else found.unionByName(one)
+        whole = [i for i in (Item(n, row["item"], row["text"]) for n, row in enumerate(part)) if i.words]
+        for some in rounds_of(whole):
+            one = _leaks(keyed, {i.number: i for i in some})
+            found = one if found is None else found.unionByName(one)
     if found is None:
         kind = benchmark.schema[item_col].dataType
         found = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("key", LONG), T.StructField("item", kind), T.StructField("score", DOUBLE)]))
