@@ -371,6 +371,18 @@ def test_language_id(spark, docs, rows, none):
     assert found.where("language = declared").count() >= 0.9 * found.count()
 
 
+@pytest.mark.parametrize("few", [1, 4])
+def test_language_id_small_language(spark, few):
+    from tidemark.llm.language_id import identify
+
+    rnd = random.Random(6)
+    word = {c: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 8))) for _ in range(60)] for c, letters in (("en", "etaoinshr"), ("fr", "eaisnrtou"), ("mt", "jqxzkhgwb"))}
+    codes = ["en"] * 200 + ["fr"] * 100 + ["mt"] * few
+    rows = [(i, " ".join(rnd.choice(word[c]) for _ in range(60)), c, f"s{i % 3}", 1, "", 1) for i, c in enumerate(codes)]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i]["language"] for i in range(len(rows))] == codes and not any(r["rejected"] for r in got.values())
+
+
 def test_page_language_id(spark, tmp_path):
     from tidemark.llm.queries import QUERIES
 

@@ -17,8 +17,8 @@ from ._common import LONG, STRING, cut, schema
 FEATURES = 8192
 #: A text counts as at most this many independent features: neighbouring ones overlap and repeat.
 TEXT_WEIGHT = 60.0
-#: A language is a candidate from this many declared documents on.
-MIN_DECLARED = 5
+#: Documents' worth of all languages that each language's features lean on: one that a single document declares is a candidate too.
+MODEL_LEAN = 0.1
 #: Pseudo-counts by which a suffix leans on all documents and a host on its suffix.
 SUFFIX_LEAN, HOST_LEAN, DECLARED_LEAN = 50.0, 20.0, 1.0
 UNKNOWN = "und"
@@ -111,12 +111,14 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     What comes to the driver has at most FEATURES rows a language code, and codes have two or three letters.
     """
     counts = cut(_count_features(docs))
-    codes = [r["code"] for r in counts.where((F.col("f") == -1) & (F.col("docs") >= MIN_DECLARED)).select("code").collect()]
+    codes = [r["code"] for r in counts.where("f = -1").select("code").collect()]
     codes.sort()
     table = np.full((FEATURES, len(codes)), 0.0)
     at = {c: i for i, c in enumerate(codes)}
-    rows = counts.where((F.col("f") >= 0) & F.col("code").isin(codes)).select("code", "f", (F.col("n").cast("double") / 1e9).alias("n")).toPandas()
+    rows = counts.where("f >= 0").select("code", "f", (F.col("n").cast("double") / 1e9).alias("n")).toPandas()
     table[rows["f"].to_numpy(), rows["code"].map(at).to_numpy(dtype=int)] = rows["n"].to_numpy()
+    whole = table.sum(1, keepdims=True)
+    table += MODEL_LEAN * whole / np.maximum(whole.sum(), 1e-9)
     total = np.maximum(table.sum(0, keepdims=True), 1e-9)
     smooth = 1e-3
     return codes, np.log((table / total + smooth / FEATURES) / (1 + smooth)).astype(np.float32)
@@ -139,7 +141,7 @@ def identify(
 
     Returns one row per input row: doc_id, language, confidence, text_language, declared, rejected, and
     ``_key``. Rejected: no letter in the text, or confidence below ``min_confidence``, or no candidate language
-    (fewer than MIN_DECLARED documents declare any). Null text: no letter, language ``und``. Null or odd
+    (no document declares any). Null text: no letter, language ``und``. Null or odd
     declared language: no evidence either way. Null host or suffix: a group of their own. Repeated rows
     are judged each. Empty table: empty result. Extra columns are ignored.
     """
