@@ -38,27 +38,45 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_dir(df.sparkSession))
-    done = df.checkpoint(eager=True)
-    _release(df.sparkSession)
-    return done
+    return df.checkpoint(eager=True)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: they go when the driver's collector finds their plans unreachable."""
+def reclaim(spark: SparkSession) -> None:
+    """Asks for the shuffle files of finished steps to go.
+
+    Spark's cleaner removes them once the driver's collector finds their plan unreachable, which on a quiet
+    driver may take half an hour (``spark.cleaner.periodicGC.interval``); operators of many steps ask after
+    their few large ones.
+    """
     spark.sparkContext._jvm.System.gc()
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Written table in the shared folder for wide rows that are read more than once, column by column.
+class Scratch:
+    """Written tables of one operator below the shared folder: dropped by name once spent, else when the process ends."""
 
-    The folder goes when the session's Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    _release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{work_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+        atexit.register(self.drop)
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df`` as a table that is read again; one of the same name stays until drop()."""
+        path = f"{self.root}/{tag}-{len(self.paths)}-{uuid.uuid4().hex[:6]}"
+        df.write.parquet(path)
+        self.paths[path] = tag
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Deletes the tables of these names, all without a name."""
+        for path in [p for p, t in self.paths.items() if t in tags or not tags]:
+            del self.paths[path]
+            _remove(self.spark, path)
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Written table in the shared folder for rows that are read more than once; it goes when the process ends."""
+    return Scratch(df.sparkSession).write(df, tag)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -70,6 +88,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of this session at BATCH_ROWS rows or what is set, if less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,28 +140,44 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> Dat
     )
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Distributed union-find over ``edges(a, b)``: ``(node, root)``, root the smallest node reachable.
 
-    Each round every node takes the smallest root among its own and its neighbours' and then
-    follows its root's root. Roots are combined map-side before each shuffle, so a node with very
-    many links costs one row a task. State is checkpointed every round. No links: no rows.
+    Every node has a parent (FastSV: Zhang, Azad and Hu 2020). A round hangs the parents of a node, as well as the
+    node itself, below the smallest grandparent among its neighbours, then lets each node skip its parent; whole trees
+    move at once, so rounds grow with the logarithm of the longest path (11 for 1,000 nodes in a row). Minima are
+    combined map-side, so a node with very many links costs one row a task. State is written every round and the
+    last one dropped; ``rounds`` is far beyond what any number of nodes needs. No links: no rows.
     """
-    both = edges.select("a", "b").where("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
-        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = state.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        roots = state.select(F.col("node").alias("low"), F.col("root").alias("over"))
-        new = cut(low.join(roots, "low").select("node", F.least("low", "over").alias("root"), (F.least("low", "over") < F.col("root")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        state = new.select("node", "root")
-        if not moved:
-            return state
+    spark = edges.sparkSession
+    keep = Scratch(spark)
+    one = edges.select("a", "b").where("a <> b")
+    both = keep.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
+    state = keep.write(_grandparents(state).withColumn("moved", F.lit(True)), "state-0")
+    for r in range(1, rounds):
+        lowest = F.col("lowest")
+        near = both.join(state.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("lowest"))
+        seen = state.select("node", "up", "top").join(near, "node")
+        # one row for the node, one for its parent
+        told = F.array(F.struct(F.col("node").alias("node"), F.least("up", "top", lowest).alias("up")), F.struct(F.col("up").alias("node"), lowest.alias("up")))
+        moved = seen.select(F.explode(told).alias("x")).groupBy("x.node").agg(F.min("x.up").alias("up"))
+        new = _grandparents(moved).join(state.select("node", F.col("top").alias("was")), "node")
+        new = keep.write(new.select("node", "up", "top", (F.col("top") != F.col("was")).alias("moved")), f"state-{r}")
+        still = new.where("moved").limit(1).count()
+        keep.drop(f"state-{r - 1}")
+        state = new
+        if not still:
+            keep.drop("both")
+            return state.select("node", F.col("top").alias("root"))
     raise RuntimeError("components did not settle")
 
 
+def _grandparents(parents: DataFrame) -> DataFrame:
+    """Adds ``top``, the parent of the parent, to (node, up)."""
+    return parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "up", "top")
+
+
 #: Cells of a bitmap over 64-bit ids: 8 MB, whatever the number of ids.
 CELL_BITS = 26
 

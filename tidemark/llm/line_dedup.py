@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LONG, STRING, WS, cell_of, components, cut, id_bitmap, in_bitmap, schema, stage
+from ._common import LONG, STRING, WS, Scratch, cell_of, components, id_bitmap, in_bitmap, reclaim, schema, small_batches
 
 #: Characters of a shingle; lines with fewer characters than MIN_CHARS are left alone: they are too short to be anyone's copy.
 SHINGLE = 5
@@ -20,6 +21,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 9, 5
 #: Lines are hashed in groups of about this many characters.
 BLOCK = 1 << 20
+#: Lines that a task remembers to have seen; it then starts anew and yields some twice, which later steps bear.
+REMEMBERED = 1 << 20
 
 _SLOTS = BANDS * ROWS
 #: Columns of a line's parity sketch.
@@ -119,37 +122,100 @@ def _may_link(apart: Column, a: Column, b: Column) -> Column:
     return (1 + SIMILARITY) * (apart - 1) <= (1 - SIMILARITY) * (a + b) + 1e-6
 
 
-def _fetched(long: DataFrame, ids: DataFrame) -> DataFrame:
+def line_ids(text: str) -> list[tuple[str, int | None]]:
+    """Each line of ``text`` without white space at both ends, with its 64-bit id (None below MIN_CHARS characters)."""
+    bare = [x.strip(WS) for x in text.split("\n")]
+    return [(x, xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) if len(x) >= MIN_CHARS else None) for x in bare]
+
+
+_LONGS = T.ArrayType(LONG, False)
+
+
+def _lists(values: np.ndarray, counts: list[int]) -> pa.Array:
+    """``values`` cut into lists of these lengths."""
+    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(values, pa.int64()))
+    return flat.cast(pa.list_(pa.field("element", pa.int64(), False)))
+
+
+def _signed(picked: DataFrame) -> DataFrame:
+    """doc_id, row_key, lines (ids by place) of each text; fresh (ids the task had not seen) and their buckets, BANDS each."""
+    out = schema(doc_id=picked.schema["doc_id"].dataType, row_key=LONG, lines=T.ArrayType(LONG), fresh=_LONGS, buckets=_LONGS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                ids, fresh, lines, counts = [], [], [], []
+                for text in batch.column(2).to_pylist():
+                    own, before = line_ids(text), len(fresh)
+                    for line, i in own:
+                        if i is not None and i not in seen:
+                            seen.add(i)
+                            fresh.append(i)
+                            lines.append(line)
+                    ids.append([i for _, i in own])
+                    counts.append(len(fresh) - before)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                flat = bands(signatures(lines)).reshape(-1)
+                columns = [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), _lists(np.array(fresh, np.int64), counts), _lists(flat, [n * BANDS for n in counts])]
+                yield pa.RecordBatch.from_arrays(columns, out.names)
+
+    return picked.select("doc_id", "row_key", "text").mapInArrow(run, out)
+
+
+def _kept_buckets(known: DataFrame, live: DataFrame) -> DataFrame:
+    """(bucket, line_id) of fresh lines in ``live`` buckets, and of some others: a bitmap of fixed size picks them."""
+    shared = known.sparkSession.sparkContext.broadcast(id_bitmap(live.select(F.expr(cell_of("bucket")).alias("c"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            where = np.flatnonzero(in_bitmap(bucket, shared.value))
+            line = batch.column(0).flatten().to_numpy(zero_copy_only=False)[where // BANDS]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[where], pa.int64()), pa.array(line, pa.int64())], ["bucket", "line_id"])
+
+    return known.select("fresh", "buckets").mapInArrow(run, schema(bucket=LONG, line_id=LONG))
+
+
+def _fetched(picked: DataFrame, ids: DataFrame) -> DataFrame:
     """(line_id, line, n, sketch) of ``ids(line_id)``.
 
     Lines are picked from the texts by a bitmap of fixed size over the ids: they are read again, but only
     those wanted are shuffled. A bitmap lets some others through and misses none.
     """
-    shared = long.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(F.expr(cell_of("line_id")).alias("c"))))
+    shared = picked.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(F.expr(cell_of("line_id")).alias("c"))))
     out = schema(line_id=LONG, line=STRING, n=LONG, **{c: LONG for c in _PARITY})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                own = [x for text in whole.slice(start, 256).column(0).to_pylist() for x in line_ids(text) if x[1] is not None]
+                number = np.array([i for _, i in own], np.int64)
+                found = {}
+                for k in np.flatnonzero(in_bitmap(number, shared.value)):
+                    line, i = own[k]
+                    if i not in seen:
+                        found[i] = line
+                seen.update(found)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line_id", "line"])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            fresh = []
-            for k in np.flatnonzero(in_bitmap(own, shared.value)):
-                if own[k] not in seen:
-                    seen.add(int(own[k]))
-                    fresh.append(k)
-            if fresh:
-                some = batch.take(pa.array(fresh, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(c, pa.int64()) for c in sketches(some.column(1).to_pylist()).T)], out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in sketches(batch.column(1).to_pylist()).T)], out.names)
 
-    picked = long.select("line_id", "line").mapInArrow(pick, out).join(ids, "line_id", "left_semi")
-    return stage(picked.dropDuplicates(["line_id"]), "lines")
+    lines = picked.select("text").mapInArrow(pick, schema(line_id=LONG, line=STRING)).join(ids, "line_id", "left_semi")
+    return lines.dropDuplicates(["line_id"]).mapInArrow(sketch, out)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines reach the similarity."""
-    both = pairs.join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("tb")), "b").join(
-        lines.select(F.col("line_id").alias("a"), F.col("line").alias("ta")), "a"
-    )
+    text = lambda k: lines.select(F.col("line_id").alias(k), F.col("line").alias(f"t{k}"))
+    both = pairs.join(text("b"), "b").join(text("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,91 +230,57 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), text, F.length(text))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, keep: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(places, roots): every long enough line's (row_key, doc_id, at, line_id), and (node, root) of linked different lines.
 
     Equal lines are one line from the start. Two different lines that share a bucket of any band are ruled out by
-    their parity sketches, or verified against each other, or end in one class anyway: first each line meets one neighbour and one
-    centre of its buckets, then lines of one bucket that are still in different classes meet pairwise, in buckets
-    of two lines as well.
+    their parity sketches, or verified against each other, or end in one class anyway: first each line meets
+    its buckets' centres (the smallest id in each), then lines of one bucket that are still in different classes meet
+    pairwise. A bucket is never gathered: its centre is a minimum, its pairs are a sort-merge join that Spark
+    splits where a bucket is large, and the sketches decide inside the join.
     """
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = picked.withColumn("row_key", _row_key("doc_id", "text"))
-    each = picked.select("row_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line", F.lit(WS)))
-    long = each.where(F.length("line") >= MIN_CHARS).withColumn("line_id", F.xxhash64("line", F.length("line")))
-    places = stage(long.select("row_key", "doc_id", "at", "line_id"), "places")
-
-    out = schema(line_id=LONG, buckets=T.ArrayType(LONG, False))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                fresh = []
-                for k, i in enumerate(batch.column(0).to_pylist()):
-                    if i not in seen:
-                        seen.add(i)
-                        fresh.append(k)
-                if fresh:
-                    some = batch.take(pa.array(fresh, pa.int64()))
-                    flat = bands(signatures(some.column(1).to_pylist())).reshape(-1)
-                    buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([some.column(0), buckets.cast(pa.list_(pa.field("element", pa.int64(), False)))], out.names)
-
-    known = stage(long.select("line_id", "line").mapInArrow(run, out), "signatures")
-    one_bucket = Window.partitionBy("bucket")
-    met = known.select("line_id", F.explode("buckets").alias("bucket")).select(
-        "bucket",
-        "line_id",
-        F.lag("line_id").over(one_bucket.orderBy(F.xxhash64("bucket", "line_id"), "line_id")).alias("before"),  # another order in each bucket
-        F.min("line_id").over(one_bucket).alias("low"),
-        F.max("line_id").over(one_bucket).alias("high"),
-    )
-    # copies of a line that other tasks met go; so do buckets of one line
-    index = stage(met.where((F.col("before").isNull() | (F.col("before") != F.col("line_id"))) & (F.col("low") != F.col("high"))).select("bucket", "line_id", "before"), "buckets")
-    live = index.groupBy("line_id").agg(F.count("*").alias("buckets"))
-    lines = _fetched(long, live.select("line_id"))
-    side = lambda k: lines.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
-
-    # each line meets the nearest of its neighbours and of the centres of its buckets; a bucket's centre is
-    # its line in most buckets, such as the one that others are edited copies of
-    centres = index.join(live, "line_id").groupBy("bucket").agg(F.max(F.struct("buckets", F.col("line_id").alias("b"))).alias("x")).select("bucket", F.col("x.b").alias("centre"))
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("centre").alias("b")))).alias("x")
-    pairs = index.join(centres, "bucket").select(F.col("line_id").alias("a"), sides).select("a", "x.kind", "x.b").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    gap = _apart("a", "b")
-    close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(gap, F.col("n_a"), F.col("n_b")))
-    close = cut(close.select("a", "kind", "b", gap.alias("gap")))
-    best = close.groupBy("a", "kind").agg(F.min(F.struct("gap", "b")).alias("x"))
-    near = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
-    links = cut(_verified(near, lines))
+    picked = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = keep.write(_signed(picked), "known")
+    each = known.select("fresh", F.posexplode("buckets").alias("p", "bucket"))
+    each = each.select("bucket", F.get("fresh", F.expr(f"p div {BANDS}").cast("int")).alias("line_id"))
+    live = each.groupBy("bucket").agg(F.min("line_id").alias("centre"), F.max("line_id").alias("high")).where("centre <> high")
+    live = keep.write(live.select("bucket", "centre"), "live")
+    reclaim(docs.sparkSession)
+    # a line's second entry in a bucket comes from another task that met a copy
+    index = keep.write(_kept_buckets(known, live).dropDuplicates(["bucket", "line_id"]).join(live, "bucket"), "index")
+    keep.drop("live")
+    lines = keep.write(_fetched(picked, index.select("line_id").distinct()), "lines")
+    reclaim(docs.sparkSession)
+    sketch = lines.select("line_id", "n", *_PARITY)
+    side = lambda k: sketch.select(F.col("line_id").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
+
+    met = index.where("line_id <> centre").select(F.col("line_id").alias("a"), F.col("centre").alias("b")).distinct()
+    near = met.join(side("a"), "a").join(side("b"), "b").where(_may_link(_apart("a", "b"), F.col("n_a"), F.col("n_b")))
+    near = keep.write(near.select("a", "b"), "near")  # b is the smaller one
+    links = keep.write(_verified(near, lines), "links")
     roots = components(links)
+
     classed = index.select("bucket", "line_id").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
-    spread = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    mixed = stage(classed.join(spread.select("bucket", "low"), "bucket").join(lines.drop("line"), "line_id"), "mixed")
+    classed = keep.write(classed, "classed")
+    spread = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = keep.write(classed.join(spread.select("bucket", "low"), "bucket").join(sketch, "line_id"), "mixed")
+    keep.drop("index", "classed")
+    reclaim(docs.sparkSession)
+    # every two of different classes once: one side leaves out the class of the smallest root
+    left = mixed.where(F.col("root") != F.col("low"))
     right = mixed.select("bucket", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("line_id", "root", "n", *_PARITY)])
-    gap = _apart("", "b_")
-    met = (
-        mixed.where(F.col("root") != F.col("low"))
-        .join(right, "bucket")
-        .where((F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("line_id") < F.col("b_line_id"))) & _may_link(gap, F.col("n"), F.col("b_n")))
-        .select(F.least("line_id", "b_line_id").alias("a"), F.greatest("line_id", "b_line_id").alias("b"), gap.alias("gap"))
-    )
-    # buckets of two lines are not mixed: their one pair is a neighbour in ``close``, be it the nearest or not
-    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    apart = lambda pairs: pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    twos = apart(close.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "gap")).select("a", "b", "gap")
+    other = (F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("line_id") < F.col("b_line_id")))
+    met = left.join(right, "bucket").where(other & _may_link(_apart("", "b_"), F.col("n"), F.col("b_n")))
     # what was verified before needs no second look
-    possible = cut(met.unionByName(twos).groupBy("a", "b").agg(F.min("gap").alias("gap")).join(near, ["a", "b"], "left_anti"))
-    # the nearest partner of each line first: most that it shows to be linked need no further look
-    closest = possible.unionByName(possible.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap")).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x"))
-    closest = cut(closest.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
-    links = cut(links.unionByName(_verified(closest, lines)))
+    rest = met.select(F.greatest("line_id", "b_line_id").alias("a"), F.least("line_id", "b_line_id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    rest = keep.write(rest, "rest")
+    keep.drop("mixed")
+    links = keep.write(links.unionByName(_verified(rest, lines)), "links-all")
     roots = components(links)
-    rest = apart(possible).select("a", "b")
-    rest = cut(rest.join(closest, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, lines))
-    return places, components(links.unionByName(more))
+    keep.drop("lines", "near", "rest", "links", "links-all")
+    reclaim(docs.sparkSession)
+    places = known.select("doc_id", "row_key", F.posexplode("lines").alias("at", "line_id")).where(F.col("line_id").isNotNull())
+    return places, roots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,36 +292,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text: no line, stays null. Null ids come first. Rows equal in id and text are one document and come
     out alike. Texts whose lines all go become empty. Empty table: empty result. Extra columns are carried
-    along; those named like the added ones are replaced.
+    along, whatever their names; those named like the three added ones are replaced.
     """
-    places, roots = line_classes(docs, id_col, text_col)
-    classed = places.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    small_batches(docs.sparkSession)
+    keep = Scratch(docs.sparkSession)
+    places, roots = line_classes(docs, keep, id_col, text_col)
+    placed = places.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     here = F.struct(F.col("doc_id"), F.col("at"), F.col("row_key"))
-    # where a class and where a line occur first: one row a task and line, then one a class
-    by_line = cut(classed.groupBy("root", "line_id").agg(F.min(here).alias("first")))
-    first = by_line.groupBy("root").agg(F.min("first").alias("kept")).join(by_line, "root").select("line_id", "kept", "first")
+    # where each line and each class occur first: one row a task and line, then one a class; lines met once are no one's copy
+    by_line = keep.write(placed.groupBy("root", "line_id").agg(F.min(here).alias("first"), F.count("*").alias("n")), "by-line")
+    by_root = by_line.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    first = keep.write(by_line.join(by_root, "root").select("line_id", "kept", "first"), "first")
+    keep.drop("by-line")
     gone = (
         places.join(first, "line_id")
         .where((F.col("row_key") != F.col("kept.row_key")) | (F.col("at") != F.col("kept.at")))
         .select("row_key", "at", ((F.col("row_key") == F.col("first.row_key")) & (F.col("at") == F.col("first.at"))).alias("fuzzy"))
-        .distinct()
-        .groupBy("row_key")
-        .agg(F.collect_list("at").alias("_gone"), F.sum(F.col("fuzzy").cast("long")).alias("_fuzzy"))
+        .groupBy(F.col("row_key").alias("gone_key"))
+        .agg(F.collect_set("at").alias("gone"), F.collect_set(F.when(F.col("fuzzy"), F.col("at"))).alias("fuzzy"))
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = _row_key(id_col, text_col)
-    split = F.split(text, "\n")
+    gone = keep.write(gone, "gone")
+    keep.drop("known", "first")
+    reclaim(docs.sparkSession)
+    # the input's columns travel in one struct, so that no name of theirs can clash
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_fuzzy")]
+    whole = docs.select(_row_key(id_col, text_col).alias("gone_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = whole.join(gone, "gone_key", "left")
+    text = F.col("row").getField(text_col)
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
     # kept places as a set difference, then their lines: linear in the lines of a text
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_fuzzy", text_col)]
-    joined = docs.withColumn("_key", key).join(gone.withColumnRenamed("row_key", "_key"), "_key", "left").withColumn("_lines", split)
-    out = joined.select(
-        *[F.col(f"`{c}`") for c in names],
-        cleaned.alias(text_col),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.coalesce("_fuzzy", F.lit(0)).cast("long").alias("n_fuzzy"),
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return joined.withColumn("lines", F.when(text.isNotNull(), lines)).select(
+        *[cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names],
+        size("lines").alias("n_lines"),
+        size("gone").alias("n_removed"),
+        size("fuzzy").alias("n_fuzzy"),
     )
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_fuzzy")]
-    return out.select(*[F.col(f"`{c}`") for c in order], "n_lines", "n_removed", "n_fuzzy")
