@@ -10,7 +10,7 @@ import atexit
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,33 +149,31 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     combined map-side, so a node with very many links costs one row a task. State is written every round and the
     last one dropped; ``rounds`` is far beyond what any number of nodes needs. No links: no rows.
     """
-    spark = edges.sparkSession
-    keep = Scratch(spark)
+    keep = Scratch(edges.sparkSession)
     one = edges.select("a", "b").where("a <> b")
-    both = keep.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
-    state = keep.write(_grandparents(state).withColumn("moved", F.lit(True)), "state-0")
+    both = keep.write(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
+    state = keep.write(_grandparents(first), "state-0")
     for r in range(1, rounds):
-        lowest = F.col("lowest")
-        near = both.join(state.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("lowest"))
-        seen = state.select("node", "up", "top").join(near, "node")
-        # one row for the node, one for its parent
-        told = F.array(F.struct(F.col("node").alias("node"), F.least("up", "top", lowest).alias("up")), F.struct(F.col("up").alias("node"), lowest.alias("up")))
-        moved = seen.select(F.explode(told).alias("x")).groupBy("x.node").agg(F.min("x.up").alias("up"))
-        new = _grandparents(moved).join(state.select("node", F.col("top").alias("was")), "node")
-        new = keep.write(new.select("node", "up", "top", (F.col("top") != F.col("was")).alias("moved")), f"state-{r}")
-        still = new.where("moved").limit(1).count()
+        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("lowest"))
+        # one row for the node, with what it knew, and one for its parent
+        own = F.struct(F.col("node").alias("node"), F.least("up", "top", "lowest").alias("up"), F.col("top").alias("was"))
+        above = F.struct(F.col("up").alias("node"), F.col("lowest").alias("up"), F.lit(None).cast("long").alias("was"))
+        told = state.join(near, "node").select(F.explode(F.array(own, above)).alias("x"))
+        moved = _grandparents(told.groupBy("x.node").agg(F.min("x.up").alias("up"), F.max("x.was").alias("was")))
+        seen = Observation()
+        new = moved.observe(seen, F.count_if(F.col("top") != F.col("was")).alias("moved")).select("node", "up", "top")
+        state = keep.write(new, f"state-{r}")
         keep.drop(f"state-{r - 1}")
-        state = new
-        if not still:
+        if not seen.get["moved"]:
             keep.drop("both")
             return state.select("node", F.col("top").alias("root"))
     raise RuntimeError("components did not settle")
 
 
 def _grandparents(parents: DataFrame) -> DataFrame:
-    """Adds ``top``, the parent of the parent, to (node, up)."""
-    return parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "up", "top")
+    """Adds ``top``, the parent of the parent, to (node, up, ...)."""
+    return parents.join(parents.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
 
 
 #: Cells of a bitmap over 64-bit ids: 8 MB, whatever the number of ids.

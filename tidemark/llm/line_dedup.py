@@ -89,6 +89,28 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _once(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which elements are the only one, or one chosen one, of those equal in line and hash.
+
+    All write their place to a table; who finds another place there is equal to that one, or shares a cell with it
+    and is sorted out among the few of that kind.
+    """
+    bits = max(10, int(2 * len(h) - 1).bit_length())
+    cell = ((h ^ (line.astype(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+    table = np.empty(1 << bits, np.int32)
+    place = np.arange(len(h), dtype=np.int32)
+    table[cell] = place
+    there = table[cell]
+    once = there == place
+    lost = np.flatnonzero(~once)
+    by = there[lost]
+    apart = lost[(h[by] != h[lost]) | (line[by] != line[lost])]
+    if len(apart):
+        _, first = np.unique(line[apart].astype(np.int64) << 32 | h[apart].astype(np.int64), return_index=True)
+        once[apart[first]] = True
+    return once
+
+
 def sketches(lines: list[str]) -> np.ndarray:
     """Number of different shingles of each line and the parity of how many fall to each of 1,024 bits, in 16 numbers.
 
@@ -103,8 +125,8 @@ def sketches(lines: list[str]) -> np.ndarray:
             size += max(SHINGLE, len(lines[end]))
             end += 1
         h, line = _shingle_hashes(lines[at:end])
-        each = np.unique(line << 32 | h.astype(np.int64))
-        line, bit = each >> 32, each & (width - 1)
+        once = _once(line, h)
+        line, bit = line[once], (h[once] & np.uint32(width - 1)).astype(np.int64)
         out[at:end, 0] = np.bincount(line, minlength=end - at)
         odd = np.bincount(line * width + bit, minlength=(end - at) * width).reshape(-1, width) & 1
         out[at:end, 1:] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
@@ -205,11 +227,19 @@ def _fetched(picked: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line_id", "line"])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in sketches(batch.column(1).to_pylist()).T)], out.names)
+            own = batch.column(0).to_numpy()
+            fresh = np.flatnonzero(np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])) if len(own) else []
+            if len(fresh):
+                last = own[-1]
+                some = batch.take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(c, pa.int64()) for c in sketches(some.column(1).to_pylist()).T)], out.names)
 
-    lines = picked.select("text").mapInArrow(pick, schema(line_id=LONG, line=STRING)).join(ids, "line_id", "left_semi")
-    return lines.dropDuplicates(["line_id"]).mapInArrow(sketch, out)
+    lines = picked.select("text").mapInArrow(pick, schema(line_id=LONG, line=STRING)).join(ids.hint("merge"), "line_id", "left_semi")
+    # the join leaves a line's copies from several tasks next to each other; should it be split between them, a line comes
+    # twice, which the distinct pairs later bear
+    return lines.mapInArrow(sketch, out)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -263,14 +293,18 @@ def line_classes(docs: DataFrame, keep: Scratch, id_col: str = "doc_id", text_co
     classed = index.select("bucket", "line_id").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     classed = keep.write(classed, "classed")
     spread = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = keep.write(classed.join(spread.select("bucket", "low"), "bucket").join(sketch, "line_id"), "mixed")
-    keep.drop("index", "classed")
+    several = keep.write(classed.join(spread.select("bucket", "low"), "bucket"), "several")
+    own = several.groupBy("line_id").agg(F.collect_set("bucket").alias("buckets"))  # BANDS at most
+    mixed = keep.write(several.join(own.join(sketch, "line_id"), "line_id"), "mixed")
+    keep.drop("index", "classed", "several")
     reclaim(docs.sparkSession)
     # every two of different classes once: one side leaves out the class of the smallest root
     left = mixed.where(F.col("root") != F.col("low"))
-    right = mixed.select("bucket", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("line_id", "root", "n", *_PARITY)])
+    right = mixed.select("bucket", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("line_id", "root", "n", "buckets", *_PARITY)])
     other = (F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("line_id") < F.col("b_line_id")))
-    met = left.join(right, "bucket").where(other & _may_link(_apart("", "b_"), F.col("n"), F.col("b_n")))
+    # of a pair's common buckets, one yields it
+    once = F.array_min(F.array_intersect("buckets", "b_buckets")) == F.col("bucket")
+    met = left.join(right, "bucket").where(other & _may_link(_apart("", "b_"), F.col("n"), F.col("b_n")) & once)
     # what was verified before needs no second look
     rest = met.select(F.greatest("line_id", "b_line_id").alias("a"), F.least("line_id", "b_line_id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     rest = keep.write(rest, "rest")
@@ -297,10 +331,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     keep = Scratch(docs.sparkSession)
     places, roots = line_classes(docs, keep, id_col, text_col)
-    placed = places.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     here = F.struct(F.col("doc_id"), F.col("at"), F.col("row_key"))
-    # where each line and each class occur first: one row a task and line, then one a class; lines met once are no one's copy
-    by_line = keep.write(placed.groupBy("root", "line_id").agg(F.min(here).alias("first"), F.count("*").alias("n")), "by-line")
+    # where each line occurs first, one row a task and line, then where each class does; lines met once are no one's copy
+    met = places.groupBy("line_id").agg(F.min(here).alias("first"), F.count("*").alias("n"))
+    by_line = met.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    by_line = keep.write(by_line, "by-line")
     by_root = by_line.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1)
     first = keep.write(by_line.join(by_root, "root").select("line_id", "kept", "first"), "first")
     keep.drop("by-line")
