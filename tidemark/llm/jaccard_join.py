@@ -3,11 +3,13 @@
 Prefix filtering with two ways to skip what set relations already decide (Wang, Qin, Lin, Zhang and
 Chang, "Leveraging set relations in exact set similarity join", 2017, restated for Spark):
 
-* index level: an index list is ordered by set size, so each entry meets its neighbours and the list's
-  head; entries of other sizes and places are skipped by bounds on size and position;
-* answer level: a set that is linked to another one has its class's answers, so a list whose entries are of one
-  class is skipped whole. Others are told apart by parity sketches, whose difference bounds the sets', and each
-  set's nearest partner is compared first: what it answers for the set and its class is not asked again.
+* index level: an index list is stored in blocks, one for each band of set sizes, and holds only entries near enough the
+  front of their sets. A set looks up the two blocks whose sizes can reach the similarity; the others
+  are not read, since the block is part of the join's key;
+* answer level: each list's smallest set is its centre, and the overlap of every entry with it is computed first. The
+  answers of two other entries follow from those: both linked to the centre are one class; distances to the
+  centre that differ by more than the limit rule a pair out, for Jaccard distance is a metric. Only pairs
+  that neither settles are compared.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import INT, LONG, STRING, cell_of, cells_of, components, cut, id_bitmap, in_bitmap, schema, stage
+from ._common import INT, LONG, STRING, Scratch, cell_of, cells_of, components, id_bitmap, in_bitmap, reclaim, schema, small_batches
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
@@ -29,13 +31,13 @@ NUM, DEN = 80, 100
 
 #: Shingles whose cell holds more index entries than this go to the end of the global order.
 FREQUENT = 32
-#: Entries from which a list counts as long: its neighbours are worth a look even if they share no more.
-LONG_LIST = 16
 #: Texts are hashed in blocks of this many bytes.
 BLOCK = 1 << 22
 
 #: Columns of a parity sketch.
-_PARITY = [f"parity{k}" for k in range(4)]
+_PARITY = [f"parity{k}" for k in range(16)]
+#: Sets that a task remembers to have seen; it then starts anew and yields some twice, which later steps bear.
+REMEMBERED = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -133,26 +135,39 @@ def parity(values: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def _fresh(ids: list[int | None], seen: set[int]) -> list[bool]:
+    """Which of the sets the task has not met; remembers them."""
+    out = []
+    for i in ids:
+        out.append(i is not None and i not in seen)
+        seen.add(i)
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    return out
+
+
+_LONGS = T.ArrayType(LONG, False)
+_CELLS = pa.list_(pa.field("element", pa.int32(), False))
+
+
 def _signatures(picked: DataFrame) -> DataFrame:
-    """doc_id, row_key, sid (null: empty set), n, sketch, cells of the hash-ordered prefix (once a task and set)."""
-    out = schema(doc_id=picked.schema["doc_id"].dataType, row_key=STRING, sid=LONG, n=LONG, **{c: LONG for c in _PARITY}, cells=T.ArrayType(INT, False))
+    """doc_id, row_key, sid (null: empty set), n, and once a task and set its sketch and the cells of its hash-ordered prefix."""
+    out = schema(doc_id=picked.schema["doc_id"].dataType, row_key=STRING, sid=LONG, n=LONG, sketch=_LONGS, cells=T.ArrayType(INT, False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
             sets = shingle_sets(batch.column(2).to_pylist())
             ids = [set_id(s) if len(s) else None for s in sets]
-            cells, sketch = [], zip(*map(parity, sets), strict=True)
-            for i, s in zip(ids, sets, strict=True):
-                fresh = i is not None and i not in seen
-                seen.add(i)
-                cells.append(cells_of(s[: prefix_length(len(s))]) if fresh else np.zeros(0, np.int32))
+            fresh = _fresh(ids, seen)
+            sketch = [parity(s) if f else [] for s, f in zip(sets, fresh, strict=True)]
+            cells = [cells_of(s[: prefix_length(len(s))]) if f else np.zeros(0, np.int32) for s, f in zip(sets, fresh, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in sketch), pa.array(cells, pa.list_(pa.field("element", pa.int32(), False)))],
+                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.list_(pa.field("element", pa.int64(), False))), pa.array(cells, _CELLS)],
                 out.names,
             )
 
-    return picked.mapInArrow(run, out)
+    return picked.select("doc_id", "row_key", "text").mapInArrow(run, out)
 
 
 def _frequent(signed: DataFrame) -> np.ndarray:
@@ -164,28 +179,35 @@ def _frequent(signed: DataFrame) -> np.ndarray:
     return id_bitmap(cells.select(F.col("c").cast("long").alias("c")))
 
 
-def _postings(picked: DataFrame, bits: np.ndarray) -> DataFrame:
-    """token, sid, n, pos of each set's prefix in the order (frequent cell, hash), once a task and set."""
+def _postings(picked: DataFrame, frequent: np.ndarray, live: np.ndarray | None) -> DataFrame:
+    """token, sid, at (size and place) of each set's prefix in the order (frequent cell, hash), once a task and set.
+
+    With ``live``, a bitmap of tokens, only those in it.
+    """
     out = schema(token=LONG, sid=LONG, at=LONG)
-    shared = picked.sparkSession.sparkContext.broadcast(bits)  # fixed size
+    shared = picked.sparkSession.sparkContext.broadcast((frequent, live))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        table = shared.value
+        table, wanted = shared.value
         for batch in _slices(batches):
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
             tokens, ids, places = [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s) or (i := set_id(s)) in seen:
-                    continue
-                seen.add(i)
-                p = prefix_length(len(s))
-                often = in_bitmap(s, table)
-                first = np.concatenate([s[~often][:p], s[often][: max(0, p - int((~often).sum()))]])
-                tokens.append(first)
-                ids.append(np.full(len(first), i))
-                places.append(len(s) << 32 | np.arange(len(first)))
+            own = [set_id(s) for s in sets]
+            for s, i, fresh in zip(sets, own, _fresh(own, seen), strict=True):
+                if fresh:
+                    p = prefix_length(len(s))
+                    often = in_bitmap(s, table)
+                    first = np.concatenate([s[~often][:p], s[often][: max(0, p - int((~often).sum()))]])
+                    tokens.append(first)
+                    ids.append(np.full(len(first), i))
+                    places.append(len(s) << 32 | np.arange(len(first)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (tokens, ids, places)], out.names)
+                columns = [np.concatenate(x) for x in (tokens, ids, places)]
+                if wanted is not None:
+                    kept = in_bitmap(columns[0], wanted)
+                    columns = [c[kept] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], out.names)
 
     return picked.select("text").mapInArrow(run, out)
 
@@ -217,18 +239,15 @@ def _sets_of(picked: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     shared = picked.sparkSession.sparkContext.broadcast(id_bitmap(ids.select(F.expr(cell_of("s")).alias("c"))))
-    out = schema(sid=LONG, tokens=T.ArrayType(LONG, False))
+    out = schema(sid=LONG, tokens=_LONGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
             sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
             ids = np.array([set_id(s) for s in sets], np.int64)
-            kept = []
-            for k in np.flatnonzero(in_bitmap(ids, shared.value)):
-                if ids[k] not in seen:
-                    seen.add(int(ids[k]))
-                    kept.append(k)
+            hit = in_bitmap(ids, shared.value)
+            kept = [k for k, f in enumerate(_fresh([int(i) if h else None for i, h in zip(ids, hit, strict=True)], seen)) if f]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[kept], pa.int64()), pa.array([sets[k] for k in kept], pa.list_(pa.field("element", pa.int64(), False)))], out.names)
 
@@ -236,13 +255,21 @@ def _sets_of(picked: DataFrame, pairs: DataFrame) -> DataFrame:
     return picked.select("text").mapInArrow(run, out).join(ids.withColumnRenamed("s", "sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _verified(picked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets reach the similarity."""
-    sets = stage(_sets_of(picked, pairs), "sets")
-    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.where(_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select("a", "b")
+def _answers(picked: DataFrame, pairs: DataFrame, keep: Scratch) -> DataFrame:
+    """(a, b, common, n_a, n_b) of ``pairs(a, b)``: the exact overlap of their sets."""
+    sets = keep.write(_sets_of(picked, pairs), "sets")
+    side = lambda k: sets.select(F.col("sid").alias(k), F.col("tokens").alias(f"t{k}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
+
+
+def _linked(answers: DataFrame) -> DataFrame:
+    return answers.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _band(n: Column) -> Column:
+    """Block of a set size: sets that link lie in one block or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,96 +278,80 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when NUM/DEN of the union of their five-word shingles is common; component_id is the
     smallest id reachable over links. Equal sets are one set from the start, so copies cost one row a
     task. No link between different sets is lost: two sets that would link share an index list; if they
-    are not in one class after the lists' neighbours and heads were verified, they meet as entries of
-    different classes.
+    are not in one class once the lists' centres have been compared, they meet in the blocks of that list. A list is never
+    gathered: its centre is a minimum, and its blocks meet in a sort-merge join that Spark splits where a block is large.
 
     Null text or no word: no shingle, a class of its own; a null id leaves the class to its other members
     (null without any). Repeated rows and ids: each row is returned, with its set's class (for a document
     without words its own id). Empty table: empty result. Extra columns are ignored.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    keep = Scratch(spark)
     picked = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    signed = stage(_signatures(picked), "signed")
-    bits = _frequent(signed)
-    sketches = signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in _PARITY])
-    sketches = cut(sketches)
+    signed = keep.write(_signatures(picked), "signed")
+    frequent = _frequent(signed)
+    sketched = signed.where(F.size("sketch") > 0).dropDuplicates(["sid"])
+    sketches = keep.write(sketched.select("sid", "n", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(_PARITY)]), "sketches")
+    members = keep.write(signed.select("doc_id", "row_key", "sid", "n"), "members")
+    keep.drop("signed")
     side = lambda k: sketches.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
-    # sets of one size stand in another order in each list, so that a set meets many others of its class as neighbours
-    by_size = Window.partitionBy("token").orderBy("n", F.xxhash64("token", "sid"), "sid")
-    listed = _postings(picked, bits).select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
-    fields = [F.col("n"), F.col("sid"), F.col("pos")]
-    neighbours = listed.select(
-        "token",
-        "sid",
-        "n",
-        "pos",
-        F.lag(F.struct(*fields)).over(by_size).alias("before"),
-        F.min("sid").over(Window.partitionBy("token")).alias("low"),
-        F.max("sid").over(Window.partitionBy("token")).alias("high"),
-        F.count("*").over(Window.partitionBy("token")).alias("listed"),
-        F.first(F.struct(*fields)).over(by_size).alias("head"),
-    )
+
+    # lists of two sets or more, each with its centre
+    lists = _postings(picked, frequent, None).select("token", "sid").groupBy("token").agg(F.min("sid").alias("centre"), F.max("sid").alias("high"))
+    live = keep.write(lists.where("centre <> high").select("token", "centre"), "live")
+    reclaim(spark)
+    entries = _postings(picked, frequent, id_bitmap(live.select(F.expr(cell_of("token")).alias("c"))))
+    size, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     # a set's second entry in a list comes from another task that met a copy
-    once = neighbours.where((F.col("before").isNull() | (F.col("before.sid") != F.col("sid"))) & (F.col("low") != F.col("high")))
-    index = stage(once.select("token", "sid", "n", "pos", F.col("before.sid").alias("before"), F.col("before.n").alias("n_before"), F.col("head.sid").alias("head"), F.col("head.n").alias("n_head"), (F.col("listed") > LONG_LIST).alias("long")), "index")
-
-    # each set and the nearest of those it meets as neighbour, as head and as centre: few pairs, most of them links
-    neighbour = F.struct(F.col("before").alias("b"), F.col("n_before").alias("nb"), F.lit(0).alias("kind"))
-    head = F.struct(F.col("head").alias("b"), F.col("n_head").alias("nb"), F.lit(1).alias("kind"))
-    met = index.select(F.col("sid").alias("a"), "n", "long", F.explode(F.array(neighbour, head)).alias("x")).select("a", "n", "long", "x.b", "x.nb", "x.kind")
-    often = met.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & _near_sizes(F.col("n"), F.col("nb"))).groupBy("a", "b", "kind", "n").agg(F.count("*").alias("c"), F.max("long").alias("long"))
-    often = often.where((20 * F.col("c") >= F.col("n")) | F.col("long")).select("a", "b", "kind")
-    # a long list is mostly one large class; its centre is the set in most long lists, the one with fewest elements of its own
-    long = index.where("long").select("token", "sid", "n")
-    central = long.join(long.groupBy("sid").agg(F.count("*").alias("lists")), "sid")
-    centres = central.groupBy("token").agg(F.max(F.struct("lists", F.col("sid").alias("b"), F.col("n").alias("nb"))).alias("x"))
-    around = long.join(centres.select("token", "x.b", "x.nb"), "token").where((F.col("sid") != F.col("b")) & _near_sizes(F.col("n"), F.col("nb")))
-    around = around.select(F.col("sid").alias("a"), "b", F.lit(2).alias("kind")).distinct()
-    gap = _apart("a", "b")
-    close = often.unionByName(around).join(side("a"), "a").join(side("b"), "b").where(_not_too_far(gap, F.col("n_a"), F.col("n_b")))
-    best = close.groupBy("a", "kind").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("x"))
-    likely = cut(best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
-    links = cut(_verified(picked, likely))
+    entries = entries.dropDuplicates(["token", "sid"]).join(live, "token")
+    index = keep.write(entries.select("token", "centre", "sid", size.alias("n"), place.alias("pos")), "index")
+    keep.drop("live")
+    reclaim(spark)
+
+    # the answers of the centres
+    met = index.where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct()
+    near = met.join(side("a"), "a").join(side("b"), "b").where(_near_sizes(F.col("n_a"), F.col("n_b")) & _not_too_far(_apart("a", "b"), F.col("n_a"), F.col("n_b")))
+    near = keep.write(near.select("a", "b"), "near")
+    answers = keep.write(_answers(picked, near, keep), "answers")
+    keep.drop("sets")
+    reclaim(spark)
+    links = keep.write(_linked(answers), "links")
     roots = components(links)
 
     # entries of different classes in one list
-    classed = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    classed = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     spread = classed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = stage(classed.join(spread.select("token", "low"), "token").join(sketches.drop("n"), "sid"), "mixed")
-    left = mixed.where(F.col("root") != F.col("low"))
-    right = mixed.select("token", F.col("low").alias("lb"), *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "root", *_PARITY)])
-    # the first common element of a link lies so far in front that enough elements follow it in either set
+    told = answers.select(F.col("a").alias("sid"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
+    mixed = classed.join(spread.select("token", "low"), "token").join(told, ["sid", "centre"], "left").join(sketches.drop("n"), "sid")
+    mixed = mixed.withColumn("far", F.when(F.col("sid") == F.col("centre"), 0.0).otherwise(F.col("far")))
+    mixed = keep.write(mixed.withColumn("band", _band(F.col("n"))), "mixed")
+    keep.drop("index")
+    reclaim(spark)
+    # of a linked pair, the smaller set has its first common element in the front: enough elements follow it there
+    block = mixed.where((DEN + NUM) * (F.col("n") - F.col("pos")) >= 2 * NUM * F.col("n"))
+    block = block.select("token", "band", *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "root", "far", *_PARITY)])
+    probe = mixed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    other = F.col("root") != F.col("b_root")
+    smaller = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_sid") != F.col("sid")))
     ahead = _enough(F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")), F.col("n"), F.col("b_n"))
-    gap = _apart("", "b_")
-    met = (
-        left.join(right, "token")
-        .where((F.col("root") != F.col("b_root")) & ((F.col("b_root") == F.col("lb")) | (F.col("sid") < F.col("b_sid"))) & _near_sizes(F.col("n"), F.col("b_n")))
-        .where(ahead & _not_too_far(gap, F.col("n"), F.col("b_n")))
-        .select(
-            F.least("sid", "b_sid").alias("a"),
-            F.greatest("sid", "b_sid").alias("b"),
-            F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")).alias("left"),
-            (F.col("n") + F.col("b_n")).alias("total"),
-            gap.alias("gap"),
-        )
+    # what the centre's answers say: distances to it that differ by more than the limit (null: not compared)
+    derived = ~F.coalesce(F.abs(F.col("far") - F.col("b_far")) > 1 - NUM / DEN + 1e-9, F.lit(False))
+    found = probe.join(block, ["token", "band"]).where(
+        other & smaller & _near_sizes(F.col("n"), F.col("b_n")) & ahead & derived & _not_too_far(_apart("", "b_"), F.col("n"), F.col("b_n"))
     )
-    # all common elements up to the last common one of both fronts are counted; the rest is bounded by what follows it
-    bounded = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("left").alias("left"), F.max("total").alias("total"), F.max("gap").alias("gap"))
-    possible = bounded.where(_enough(F.col("c") + F.col("left") - 1, F.col("total"), F.lit(0))).select("a", "b", "gap")
-    # what was verified before needs no second look
-    possible = cut(possible.join(likely, ["a", "b"], "left_anti"))
-    # the nearest partner of each set first: most that it shows to be linked need no further look
-    nearest = possible.unionByName(possible.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap")).groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x"))
-    nearest = cut(nearest.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
-    links = cut(links.unionByName(_verified(picked, nearest)))
+    rest = found.select(F.greatest("sid", "b_sid").alias("a"), F.least("sid", "b_sid").alias("b")).distinct()
+    # what was compared before needs no second look
+    rest = keep.write(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    keep.drop("mixed")
+    reclaim(spark)
+    links = keep.write(links.unionByName(_linked(_answers(picked, rest, keep))), "all-links")
     roots = components(links)
-    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = possible.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = cut(rest.join(nearest, ["a", "b"], "left_anti"))
-    roots = components(links.unionByName(_verified(picked, rest)))
-
-    member = signed.select("doc_id", "row_key", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    member = cut(member)
+    keep.drop("sets", "near", "answers", "rest", "links", "all-links", "sketches")
+    reclaim(spark)
+
+    member = keep.write(members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classed")
+    keep.drop("members")
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     lowest = member.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(here).alias("first"))
     alone = F.col("sid").isNull()
