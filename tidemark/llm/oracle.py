@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from .quality_rules import MEASURES, MIN_GROUP, SPREADS
+from .quality_rules import LEAN, MEASURES, SPLIT_DEN, SPLIT_NUM
 
 
 def _fences(name: str, sketch: str, keys: str) -> str:
     by = f"{keys}, m" if keys else "m"
-    floor = lambda b: f"CASE WHEN {b} < 64 THEN {b} ELSE ({b} - 32 * ({b} // 32 - 1)) << ({b} // 32 - 1) END"
-    return f"""{name}_ranks AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {sketch}),
-{name}_points AS (SELECT {by}, min(CASE WHEN upto * 100 >= 50 * total THEN b END) AS b50, min(CASE WHEN upto * 100 >= 10 * total THEN b END) AS b10, max(total) AS total FROM {name}_ranks GROUP BY {by}),
-{name} AS (SELECT {by}, CASE WHEN total >= {MIN_GROUP} THEN q50 + greatest({SPREADS} * (q50 - q10), least_of) END AS fence FROM
-  (SELECT *, {floor("b50")} AS q50, {floor("b10")} AS q10, CASE m {" ".join(f"WHEN '{k}' THEN {v}" for k, v in MEASURES.items())} END AS least_of FROM {name}_points) p)"""
+    floor = "CASE WHEN b < 64 THEN b ELSE (b - 32 * (b // 32 - 1)) << (b // 32 - 1) END"
+    return f"""{name}_ranks AS (SELECT {by}, v, lead(v) OVER (PARTITION BY {by} ORDER BY b) AS next, CAST(sum(n) OVER w AS DOUBLE) AS w0, CAST(sum(n * v) OVER w AS DOUBLE) AS s0,
+  CAST(sum(n) OVER (PARTITION BY {by}) AS BIGINT) AS total, CAST(sum(n * v) OVER (PARTITION BY {by}) AS DOUBLE) AS s, CAST(sum(CAST(n * v AS HUGEINT) * v) OVER (PARTITION BY {by}) AS DOUBLE) AS q
+  FROM (SELECT *, {floor} AS v FROM {sketch}) p WINDOW w AS (PARTITION BY {by} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name}_cuts AS (SELECT *, CAST(total AS DOUBLE) AS d, q - s * s / CAST(total AS DOUBLE) AS spread,
+  CASE WHEN next IS NOT NULL THEN (s * w0 - CAST(total AS DOUBLE) * s0) * (s * w0 - CAST(total AS DOUBLE) * s0) / (CAST(total AS DOUBLE) * w0 * (CAST(total AS DOUBLE) - w0)) END AS between_ FROM {name}_ranks),
+{name} AS (SELECT {by}, total, CASE WHEN coalesce({SPLIT_DEN} * between_ >= {SPLIT_NUM} * spread, false) THEN (v + next) // 2 ELSE max(v) OVER (PARTITION BY {by}) END AS fence
+  FROM {name}_cuts QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY between_ DESC NULLS LAST, v) = 1)"""
 
 
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) END"
@@ -35,7 +38,7 @@ all_sketch AS (SELECT m, b, sum(n) AS n FROM own_sketch GROUP BY ALL),
 {_fences("own_fence", "own_sketch", "lang, source")},
 {_fences("lang_fence", "lang_sketch", "lang")},
 {_fences("all_fence", "all_sketch", "")},
-fences AS (SELECT o.lang, o.source, o.m, coalesce(o.fence, l.fence, a.fence) AS fence
+fences AS (SELECT o.lang, o.source, o.m, (o.total * o.fence + {LEAN} * ((l.total * l.fence + {LEAN} * a.fence) // (l.total + {LEAN}))) // (o.total + {LEAN}) AS fence
   FROM own_fence o JOIN lang_fence l ON l.lang = o.lang AND l.m = o.m JOIN all_fence a ON a.m = o.m),
 wide AS (SELECT lang, source, {", ".join(f"max(CASE WHEN m = '{m}' THEN fence END) AS {m}_max" for m in MEASURES)} FROM fences GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -12,12 +12,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 
-#: Each adaptive measure with its smallest tolerated excess over the group's median.
-MEASURES = {"symbol_pm": 50, "upper_pm": 250, "dup_line_pm": 400, "repeat_pm": 250, "mean_len_10": 40}
-#: Spread of the clean half (median less lowest tenth) that a text may lie above the median.
-SPREADS = 8
-#: A sketch of fewer documents gives way to the one of its language, then to the one of all.
-MIN_GROUP = 100
+#: Adaptive measures, in thousandths but for the mean word length, in tenths.
+MEASURES = ["symbol_pm", "upper_pm", "dup_line_pm", "repeat_pm", "mean_len_10"]
+#: A sketch is split where its two parts explain this share of its variance: more than halves of an even spread do.
+SPLIT_NUM, SPLIT_DEN = 3, 4
+#: Documents' worth of its language's threshold that a source's leans on, and a language's of the one of all.
+LEAN = 100
 
 
 def _covered(starts: Column) -> Column:
@@ -127,36 +127,64 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper fence per group and measure: median + max(SPREADS * (median - lowest tenth), least excess)."""
-    up_to = Window.partitionBy(*keys, "m").orderBy("b")
+    """(keys, m, total, fence): where a group's sketch falls into two parts, or its largest value where it does not.
+
+    The level of the threshold quantile is not fixed: it is the one at which cutting the sketch in two leaves the
+    least variance inside the parts (Otsu 1979, on bucket counts), and it holds only if the parts explain
+    SPLIT_NUM / SPLIT_DEN of the variance or more. The fence lies half-way between the two buckets at the cut. Sums are whole numbers, so
+    any order of merging gives the same fence. A sketch has some hundred buckets, whatever its documents.
+    """
+    up_to = Window.partitionBy(*keys, "m").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(*keys, "m").orderBy("b")
     all_of = Window.partitionBy(*keys, "m")
-    ranked = sketch.select(*keys, "m", "b", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(all_of).alias("total"))
-    at = lambda p: bucket_floor(F.min(F.when(F.col("upto") * 100 >= p * F.col("total"), F.col("b"))))
-    found = ranked.groupBy(*keys, "m").agg(at(50).alias("q50"), at(10).alias("q10"), F.max("total").alias("total"))
-    least = F.coalesce(*[F.when(F.col("m") == k, F.lit(v)) for k, v in MEASURES.items()])
-    fence = F.col("q50") + F.greatest(SPREADS * (F.col("q50") - F.col("q10")), least.cast("long"))
-    return found.select(*keys, "m", F.when(F.col("total") >= MIN_GROUP, fence).alias("fence"))
+    v, wide = F.col("v"), "decimal(38,0)"
+    ranked = sketch.withColumn("v", bucket_floor(F.col("b")).cast("long")).select(
+        *keys,
+        "m",
+        "v",
+        F.lead("v").over(in_order).alias("next"),
+        F.sum("n").over(up_to).cast("double").alias("w0"),
+        F.sum(F.col("n") * v).over(up_to).cast("double").alias("s0"),
+        F.sum("n").over(all_of).alias("total"),
+        F.sum(F.col("n") * v).over(all_of).cast("double").alias("s"),
+        F.sum((F.col("n") * v).cast("decimal(19,0)") * v.cast("decimal(19,0)")).over(all_of).cast(wide).cast("double").alias("q"),
+    )
+    w = F.col("total").cast("double")
+    apart = F.col("s") * F.col("w0") - w * F.col("s0")
+    between = F.when(F.col("next").isNotNull(), apart * apart / (w * F.col("w0") * (w - F.col("w0"))))
+    spread = F.col("q") - F.col("s") * F.col("s") / w
+    best = ranked.groupBy(*keys, "m").agg(
+        F.max(F.struct(between.alias("between"), (-v).alias("low"), "next")).alias("x"), F.max("v").alias("top"), F.max("total").alias("total"), F.max(spread).alias("spread")
+    )
+    clear = F.coalesce(SPLIT_DEN * F.col("x.between") >= SPLIT_NUM * F.col("spread"), F.lit(False))
+    return best.select(*keys, "m", "total", F.when(clear, F.expr("(x.next - x.low) div 2")).otherwise(F.col("top")).alias("fence"))
+
+
+def _leaning(own: str, total: str, broader: str) -> Column:
+    return F.expr(f"({total} * {own} + {LEAN} * {broader}) div ({total} + {LEAN})")
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """One row per (language, source) with a fence for each measure; thin groups borrow from language or all."""
+    """One row per (language, source) with a fence for each measure.
+
+    A source's fence is a mean of its own and its language's, weighted by its documents and LEAN; a language's
+    leans on that of all documents in the same way.
+    """
     own = cut(sketches(measured))
     by_lang = own.groupBy("_lang", "m", "b").agg(F.sum("n").alias("n"))
     of_all = own.groupBy("m", "b").agg(F.sum("n").alias("n"))
-    fences = (
-        _fences(own, ["_lang", "_source"])
-        .join(_fences(by_lang, ["_lang"]).withColumnRenamed("fence", "lang_fence"), ["_lang", "m"])
-        .join(_fences(of_all, []).withColumnRenamed("fence", "all_fence"), "m")
-        .select("_lang", "_source", "m", F.coalesce("fence", "lang_fence", "all_fence").alias("fence"))
-    )
+    named = lambda df, k: df.withColumnRenamed("fence", f"{k}_fence").withColumnRenamed("total", f"{k}_total")
+    lang = named(_fences(by_lang, ["_lang"]), "lang").join(named(_fences(of_all, []), "all"), "m")
+    lang = lang.select("_lang", "m", _leaning("lang_fence", "lang_total", "all_fence").alias("lang_fence"))
+    fences = _fences(own, ["_lang", "_source"]).join(lang, ["_lang", "m"]).select("_lang", "_source", "m", _leaning("fence", "total", "lang_fence").alias("fence"))
     return fences.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("m") == m, F.col("fence"))).alias(f"{m}_max") for m in MEASURES])
 
 
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     """Judge every document by fixed base rules, then by thresholds of its own language and source.
 
-    ``kept`` is false where the base rules fail or where a measure lies above the group's fence; with
-    too few documents everywhere (under ``MIN_GROUP`` in all) only the base rules hold. Null text: no
+    ``kept`` is false where the base rules fail or where a measure lies above the fence of its language and source.
+    The fences come from the data alone: a group in which nothing stands apart has its largest value as fence. Null text: no
     words, base fails. Null language or source: one group of their own, with empty ones. Repeated rows
     are judged each. Empty table: empty result. Extra columns are ignored. ``columns`` names other
     columns (``id_col``, ``text_col``, ``lang_col``, ``source_col``).
