@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,24 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BINARY, DOUBLE, INT, LONG, cut, schema, stage
+from ._common import BINARY, DOUBLE, INT, LONG, Scratch, cut, schema, small_batches
+from .jaccard_join import _mix, _powers
 
 #: Words of a block; a passage is two, so it holds each run of BLOCK words and most of a run of two blocks.
 BLOCK = 32
 #: Words in more than this share of the items (and in more than COMMON_LEAST) do not tell items apart.
-COMMON_SHARE, COMMON_LEAST = 0.01, 2
+COMMON_SHARE, COMMON_LEAST = 0.015, 3
 #: An item with fewer words left gets back its rarest ones, up to this many, that at most FILL_SHARE of the items have.
 LEAST_WORDS, FILL_SHARE = 9, 0.05
 #: Dimensions of the latent space, and surplus ones of the random test matrix.
-RANK, SURPLUS = 224, 16
+RANK, SURPLUS = 256, 32
 #: Cosine from which a passage is checked. Low: the check decides.
 MIN_COSINE = 0.18
 #: Share of an item's words found in order: enough alone, or enough with the answer.
 MIN_COMMON, MIN_PARAPHRASE, MIN_ANSWER = 0.8, 0.6, 0.8
-#: Items collected at a time; of their pieces, at most as many as the latent space has dimensions are handled at a
-#: time. The vocabulary and the factors that tasks hold are bounded by it.
-ITEMS = 200
+#: Items of a pass over the texts. They are dealt to rounds of at most as many pieces as the latent space has dimensions;
+#: a round reads only the places of its words that the pass has found. What tasks hold is bounded by both.
+ITEMS = 10_000
 _TERMS = 64
+#: Shares that one group adds up; there are as many levels of groups as the number of tasks needs.
+FAN_IN = 32
+#: Characters that are hashed at a time.
+CHARS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -113,25 +119,98 @@ def vocabulary(items: list[Item]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(kept))}
 
 
-def _hits(keyed: DataFrame, terms: dict[str, int]) -> DataFrame:
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """Whether a code point below 2^16 is a letter or digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(1 << 16)), bool, 1 << 16)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in a row, number of the first word of each text and of the end).
+
+    Words are those of ``words``; a hash is a polynomial in a word's characters, taken from prefix sums.
+    """
+    low = [t.lower() for t in texts]
+    c = np.frombuffer("\n".join(low).encode("utf-32-le"), np.uint32)
+    inside = _letter_table()[np.minimum(c, 0xFFFF)]
+    if len(far := np.flatnonzero(c > 0xFFFF)):
+        inside[far] = [chr(x).isalnum() for x in c[far].tolist()]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    hashes = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # words that begin within CHARS characters, the last one whole
+        upto = int(np.searchsorted(start, start[at] + CHARS))
+        base, stop = int(start[at]), int(end[upto - 1])
+        power, inverse = _powers(stop - base + 1)
+        total = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum((c[base:stop].astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+        s, e = start[at:upto] - base, end[at:upto] - base
+        hashes[at:upto] = _mix((total[e] - total[s]) * inverse[s])
+        at = upto
+    begin = np.cumsum([0, *(len(t) + 1 for t in low)])
+    return hashes, np.searchsorted(start, begin)
+
+
+class Vocabulary:
+    """Numbers of words, looked up by hash; words in order."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        hashes = hashed_words(["\n".join(terms)])[0] if terms else np.zeros(0, np.uint64)
+        self.number = np.argsort(hashes)
+        self.hashes = hashes[self.number]
+        self.maybe = np.zeros(1 << 20, bool)  # by leading bits: most words are out at once
+        self.maybe[self.hashes >> np.uint64(44)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``hashes`` that hold a word of the vocabulary, its number)."""
+        at = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
+        where = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[where] == hashes[at]
+        return at[same], self.number[where[same]]
+
+
+def _hits(keyed: DataFrame, terms: list[str]) -> DataFrame:
     """key, n (words), at (places) and term of the vocabulary's words in each text that has any."""
     out = schema(key=LONG, n=LONG, at=BINARY, term=BINARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = Vocabulary(terms)
+        for batch in _slices(batches):
+            keys, (hashes, first) = batch.column(0).to_pylist(), hashed_words(batch.column(1).to_pylist())
+            where, number = known.find(hashes)
+            bound = np.searchsorted(where, first)
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words(text)
-                number = np.array([terms.get(w, -1) for w in own], np.int32)
-                at = np.flatnonzero(number >= 0)
-                if len(at):
-                    rows.append((key, len(own), at.astype(np.uint32).tobytes(), number[at].tobytes()))
+            for k, key in enumerate(keys):
+                a, b = bound[k], bound[k + 1]
+                if a < b:
+                    rows.append((key, int(first[k + 1] - first[k]), (where[a:b] - first[k]).astype(np.uint32).tobytes(), number[a:b].astype(np.int32).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], out.names)
 
     return keyed.select("key", "text").mapInArrow(run, out)
 
 
+def _own(hits: DataFrame, number: np.ndarray) -> DataFrame:
+    """``hits`` of the terms that ``number`` gives a number of 0 or more, by that number."""
+    out = hits.schema
+    shared = hits.sparkSession.sparkContext.broadcast(number.astype(np.int32))  # a pass's vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, n, at, term in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = shared.value[np.frombuffer(term, np.int32)]
+                kept = own >= 0
+                if kept.any():
+                    rows.append((key, n, np.frombuffer(at, np.uint32)[kept].tobytes(), own[kept].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], out.names)
+
+    return hits.mapInArrow(run, out)
+
+
 def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first hit of each block, document of the block, number of the block in it, terms of all hits)."""
     at = [np.frombuffer(x, np.uint32).astype(np.int64) // BLOCK for x in batch.column(2).to_pylist()]
@@ -190,14 +269,19 @@ def latent_space(hits: DataFrame, weight: np.ndarray, pieces: np.ndarray) -> np.
             yield pa.RecordBatch.from_arrays([pa.array([p // _TERMS], pa.int32()), pa.array([sums[p : p + _TERMS].tobytes()], pa.binary())], out.names)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.float32).astype(np.float64) for s in rows["sums"])
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [total.tobytes()]})
-
-    # two levels of adding up, so that no task gathers the shares of all tasks
-    halves = hits.mapInArrow(run, out).groupBy("part", F.pmod(F.spark_partition_id(), F.lit(32)).alias("half"))
-    sums32 = halves.applyInPandas(lambda r: pd.DataFrame({"part": r["part"].iloc[:1], "sums": [sum(np.frombuffer(s, np.float32) for s in r["sums"]).tobytes()]}), out)
-    parts = sums32.groupBy("part").applyInPandas(add, out).toPandas().sort_values("part")  # vocabulary x width in all
-    image = np.concatenate([np.frombuffer(s, np.float64).reshape(-1, width) for s in parts["sums"]]) if len(parts) else np.zeros((size, width))
+        total = np.zeros(len(rows["sums"].iloc[0]) // 4)
+        for share in rows["sums"]:
+            total += np.frombuffer(share, np.float32)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "task": rows["task"].iloc[:1] // FAN_IN, "sums": [total.astype(np.float32).tobytes()]})
+
+    # groups of FAN_IN shares, level by level, so that no task gathers the shares of all tasks
+    wide, left = schema(part=INT, task=INT, sums=BINARY), hits.rdd.getNumPartitions()
+    shares = hits.mapInArrow(run, out).withColumn("task", F.spark_partition_id())
+    while left > 1:
+        shares = shares.groupBy("part", F.expr(f"task div {FAN_IN}").alias("group")).applyInPandas(lambda _, rows: add(rows), wide)
+        left = -(-left // FAN_IN)
+    parts = shares.select("part", "sums").toPandas().sort_values("part")  # vocabulary x width in all
+    image = np.concatenate([np.frombuffer(s, np.float32).astype(np.float64).reshape(-1, width) for s in parts["sums"]]) if len(parts) else np.zeros((size, width))
     # the benchmark's pieces count as much as all documents together, so that no item's direction is lost among them
     energy = float(np.trace(test.T @ (image * weight[:, None]))) / max(float(((pieces @ test) ** 2).sum()), 1e-9)
     image = image * weight[:, None] + max(energy, 1.0) * (pieces.T @ (pieces @ test))
@@ -282,18 +366,31 @@ def tfidf(texts: list[list[str]], terms: dict[str, int], weight: np.ndarray) ->
     return out
 
 
-def _leaks(keyed: DataFrame, items: dict[int, Item]) -> DataFrame:
-    """(key, item, score) of the texts that hold one of ``items``, by its id."""
-    terms = vocabulary(list(items.values()))
-    hits = stage(_hits(keyed, terms), "hits")
-    weight = inverse_frequency(hits, len(terms))
-    pieces = [(i.number, p) for i in items.values() for p in i.pieces]
-    vectors = tfidf([p for _, p in pieces], terms, weight)
-    space = latent_space(hits, weight, vectors)
-    near = stage(_near(hits, weight, space, vectors, np.array([n for n, _ in pieces], np.int64)), "near")
-    checked = _check(keyed, near, items)
-    names = F.create_map(*[x for n, i in items.items() for x in (F.lit(n), F.lit(i.ident))])
-    return checked.select("key", F.element_at(names, F.col("item").cast("int")).alias("item"), "score")
+def _leaks(keyed: DataFrame, items: list[Item], names: T.StructType, keep: Scratch) -> DataFrame:
+    """(key, item, score) of the texts that hold one of ``items``, by its id: one pass over the texts."""
+    rounds = rounds_of(items)
+    known = [vocabulary(r) for r in rounds]
+    every = sorted(set().union(*known))
+    place = {w: i for i, w in enumerate(every)}
+    hits = keep.write(_hits(keyed, every), "hits")
+    near = None
+    for some, terms in zip(rounds, known, strict=True):
+        number = np.full(len(every), -1)
+        number[[place[w] for w in terms]] = list(terms.values())
+        own = hits if len(rounds) == 1 else _own(hits, number)
+        weight = inverse_frequency(own, len(terms))
+        pieces = [(i.number, p) for i in some for p in i.pieces]
+        vectors = tfidf([p for _, p in pieces], terms, weight)
+        space = latent_space(own, weight, vectors)
+        found = keep.write(_near(own, weight, space, vectors, np.array([n for n, _ in pieces], np.int64)), "near")
+        near = found if near is None else near.unionByName(found)
+    if len(rounds) > 1:
+        near = near.select("key", F.explode("items").alias("i")).groupBy("key").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    held = {i.number: i for i in items}
+    checked = keep.write(_check(keyed, near, held), "checked")
+    keep.drop("hits", "near")
+    idents = keyed.sparkSession.createDataFrame([(n, i.ident) for n, i in held.items()], names)
+    return checked.join(F.broadcast(idents), "item").select("key", "ident", "score")  # ITEMS rows at most
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -303,27 +400,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     around it as the item has, holds MIN_COMMON of the item's words in order, or MIN_PARAPHRASE of them and
     MIN_ANSWER of the answer's. Words are runs of letters and digits in lower case.
 
-    Items come in rounds of at most RANK pieces, so neither what tasks hold nor a piece's share of the latent space
-    depends on the size of the benchmark or of its items. Null or wordless items
+    A pass over the texts takes ITEMS items, in rounds of at most RANK pieces, so neither what tasks hold nor a piece's share of
+    the latent space depends on the size of the benchmark or of its items. Null or wordless items
     match nothing; items with equal text are found together; null item ids are left out of item_ids. Null
     or empty texts are clean. Null or repeated ids and repeated rows: each row is judged by its own text.
     Empty tables: nothing is contaminated. Extra columns are ignored.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    keep = Scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.length(text)).alias("key"))
+    kind = benchmark.schema[item_col].dataType
     sound = benchmark.where(F.col(item_text_col).rlike(r"[\p{L}\p{N}]")).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    rounds = -(-sound.count() // ITEMS)
-    found = None
-    for r in range(rounds):
-        part = sound.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == r).orderBy("item", "text").collect()  # about ITEMS rows
+    passes = -(-sound.count() // ITEMS)
+    found = spark.createDataFrame([], T.StructType([T.StructField("key", LONG), T.StructField("ident", kind), T.StructField("score", DOUBLE)]))
+    for r in range(passes):
+        part = sound.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == r).orderBy("item", "text").collect()  # about ITEMS rows
         whole = [i for i in (Item(n, row["item"], row["text"]) for n, row in enumerate(part)) if i.words]
-        for some in rounds_of(whole):
-            one = _leaks(keyed, {i.number: i for i in some})
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        kind = benchmark.schema[item_col].dataType
-        found = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("key", LONG), T.StructField("item", kind), T.StructField("score", DOUBLE)]))
-    per = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("score").alias("best_score"))
+        if whole:
+            names = T.StructType([T.StructField("item", LONG), T.StructField("ident", kind)])
+            found = found.unionByName(_leaks(keyed, whole, names, keep))
+    per = found.groupBy("key").agg(F.array_sort(F.collect_set("ident")).alias("item_ids"), F.max("score").alias("best_score"))
     none = F.array().cast(per.schema["item_ids"].dataType)
     return keyed.select("doc_id", "key").join(cut(per), "key", "left").select(
         "doc_id",
