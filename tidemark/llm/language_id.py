@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LONG, STRING, cut, schema
+from ._common import LONG, STRING, cut, schema, small_batches
 
 #: Hashed three-byte features of a text.
 FEATURES = 8192
@@ -45,6 +45,32 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     )
 
 
+def document_evidence(docs: DataFrame, text_col: str = "text", declared_col: str | None = "lang") -> DataFrame:
+    """Adds ``markup_lang`` and ``suffix`` to documents, both from the text itself.
+
+    The suffix is the last label of the first web or mail address in the text, empty without one. The declared
+    language is that of an html element in the text, else the column's.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    host = F.regexp_extract(text, r"(?:://|@)((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", 1)
+    markup = F.regexp_extract(text, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    given = F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")
+    # most texts hold neither sign: looking for a short string is far cheaper than matching
+    addressed = text.contains("@") | text.contains("://")
+    return docs.withColumns(
+        {
+            "suffix": F.when(addressed, F.lower(F.element_at(F.split(host, r"\."), -1))).otherwise(""),
+            "markup_lang": F.when(text.contains("<") & (markup != ""), markup).otherwise(given),
+        }
+    )
+
+
+def evidence_key(*columns: Column) -> Column:
+    """Digest of all that a verdict depends on (id, text, declared language, host, suffix), nulls apart from empty values."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.length(c.cast("string")), F.lit("="), c.cast("string")), F.lit("-"))
+    return F.md5(F.concat(*[part(c) for c in columns]).cast("binary"))
+
+
 def language_code(c: Column) -> Column:
     """Primary subtag of a declared language in lower case; null if it has not two or three letters."""
     code = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1))
@@ -140,13 +166,16 @@ def identify(
     on those of all documents, and P(declared | l) comes from counts of the same kind.
 
     Returns one row per input row: doc_id, language, confidence, text_language, declared, rejected, and
-    ``_key``. Rejected: no letter in the text, or confidence below ``min_confidence``, or no candidate language
+    ``_key``, the ``evidence_key`` of the row: rows that share it have one verdict. Rejected: no letter in the text, or confidence below ``min_confidence``, or no candidate language
     (no document declares any). Null text: no letter, language ``und``. Null or odd
     declared language: no evidence either way. Null host or suffix: a group of their own. Repeated rows
     are judged each. Empty table: empty result. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
+    given = [F.col(c) if c else none for c in (id_col, text_col, declared_col, host_col, suffix_col)]
     picked = docs.select(
+        evidence_key(*given).alias("_key"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         (language_code(F.col(declared_col).cast("string")) if declared_col else none).alias("_declared"),
@@ -170,8 +199,7 @@ def identify(
                     [*batch.columns[:5], pa.array(best, pa.int32()), pa.array(list(np.round(ll, 6)), pa.list_(pa.field("element", pa.float64(), False)))], out.names
                 )
 
-    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")).alias("_key")
-    scored = cut(picked.select("doc_id", "_declared", "_host", "_suffix", key, "text").mapInArrow(score, out))
+    scored = cut(picked.select("doc_id", "_declared", "_host", "_suffix", "_key", "text").mapInArrow(score, out))
     size = len(codes)
     known = scored.where(F.col("_best") >= 0)
 
@@ -184,11 +212,16 @@ def identify(
         whole = counted().first()  # one row
         sums = np.array([float(whole[f"c{i}"] or 0) for i in range(size)])
         base = (sums + 1) / (sums.sum() + size)
-        told = np.ones((size, size)) * DECLARED_LEAN / size
-        # at most languages x languages rows
-        for r in known.where(F.col("_declared").isin(codes)).groupBy("_best", "_declared").agg(F.count("*").alias("n")).collect():
-            told[r["_best"], codes.index(r["_declared"])] += r["n"]
-        told = np.log(told / told.sum(1, keepdims=True))
+        # log P(declared | language) as one row a declared code, languages x languages in all
+        heard = known.where(F.col("_declared").isin(codes)).groupBy("_best", "_declared").agg(F.count("*").alias("n"))
+        heard = heard.withColumn("p", F.col("n") + DECLARED_LEAN / size)
+        total_of = known.where(F.col("_declared").isin(codes)).groupBy("_best").agg((F.count("*") + DECLARED_LEAN).cast("double").alias("all"))
+        heard = heard.join(total_of, "_best").select("_declared", "_best", F.log(F.col("p") / F.col("all")).alias("p"))
+        unheard = total_of.select(F.map_from_entries(F.collect_list(F.struct("_best", F.log(DECLARED_LEAN / size / F.col("all")).alias("p")))).alias("silent"))
+        told = heard.groupBy("_declared").agg(F.map_from_entries(F.collect_list(F.struct("_best", "p"))).alias("heard")).join(F.broadcast(unheard))  # one row
+        each = F.sequence(F.lit(0), F.lit(size - 1))
+        # a language that no text is of has no counts: evenly told
+        told = told.select("_declared", F.transform(each, lambda i: F.coalesce(F.element_at("heard", i), F.element_at("silent", i), F.lit(float(-np.log(size))))).alias("_told"))
         total = lambda p: sum((F.col(f"{p}{i}") for i in range(1, size)), F.col(f"{p}0"))
         suffix = counted("_suffix")
         suffix = suffix.select("_suffix", *[((F.col(f"c{i}") + SUFFIX_LEAN * float(base[i])) / (total("c") + SUFFIX_LEAN)).alias(f"s{i}") for i in range(size)])
@@ -202,11 +235,12 @@ def identify(
         # a host may hold a third of all rows: its one row of priors is dealt out SALTS times
         salted = priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         fused = scored.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_suffix", "_host", "_salt"], "left")
+        # as many rows as declared languages, codes of two or three letters: at most languages x languages numbers
+        fused = fused.join(F.broadcast(told), "_declared", "left")
         default = F.array(*[F.lit(float(np.log(b))) for b in base])
-        row = F.create_map(*[x for j, c in enumerate(codes) for x in (F.lit(c), F.array(*[F.lit(float(told[i, j])) for i in range(size)]))])
         add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
         flat = F.array(*[F.lit(0.0)] * size)
-        post = add(add(F.col("_ll"), F.coalesce("_prior", default)), F.coalesce(F.when(F.col("_declared").isin(codes), F.element_at(row, F.col("_declared"))), flat))
+        post = add(add(F.col("_ll"), F.coalesce("_prior", default)), F.coalesce("_told", flat))
         fused = fused.withColumn("_post", post).withColumn("_top", F.array_max("_post"))
         confidence = F.round(1 / F.aggregate("_post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top"))), 6)
         names = F.array(*[F.lit(c) for c in codes])

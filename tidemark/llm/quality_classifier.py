@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BOOL, DOUBLE, INT, LONG, cut, schema
-
-#: Rows of the word table (words share rows by hash) and the length of their vectors.
-ROWS, DIM = 4096, 32
-#: Non-zero places of a word's index vector, and words on each side that are its context.
-NONZERO, SPAN = 4, 2
+from ._common import BOOL, DOUBLE, INT, LONG, cut, schema, small_batches
+
+#: Rows of the word table (words share rows by hash, whatever their number) and the length of their vectors.
+ROWS, DIM = 16_384, 32
+#: Non-zero places of a word's index vector, and tokens on each side that are its context.
+NONZERO, SPAN = 4, 3
+#: Numbers of a pooled text: mean and spread of its tokens' vectors, logarithm of how many there are.
+POOLED = 2 * DIM + 1
 #: Labelled documents that the network is fitted on, at most: those with the smallest hash of their id.
 MAX_TRAIN = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
@@ -24,54 +26,59 @@ THRESHOLD = 0.3
 FOLDS = 5
 MEMO_WORDS = 250_000
 
-#: Rows set aside for marks of a text that are no words: how words look, repeats, lengths.
-MARKS = 512
-
 
-def _shape(word: str) -> str:
-    """How a word looks: runs of capitals, letters, digits and each other sign, as one sign."""
+def _form(word: str) -> str:
+    """How a word is written: runs of capitals, letters, digits and each other sign, as one sign."""
     out: list[str] = []
     for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
+
 
+def _row(token: str) -> int:
+    return 1 + zlib.crc32(token.encode("utf-8")) % (ROWS - 1)
 
-class WordRows:
-    """Row numbers of words in the word table, the same in every process."""
+
+class TokenRows:
+    """A text as a run of tokens, each a row number of the word table, the same in every process.
+
+    Each word gives two tokens, its letters in lower case and the form in which it is written; each line ends with one that
+    says whether the text had that line before. All are words of one vocabulary and get their vectors
+    from their neighbours.
+    """
 
     def __init__(self):
         self.memo: dict[str, int] = {}
+        self.line_ends = _row("\0line"), _row("\0line again")
 
-    def __call__(self, word: str) -> int:
+    def _word(self, word: str) -> int:
         both = self.memo.get(word)
         if both is None:
             core = "".join(filter(str.isalpha, word)).lower()
-            row = MARKS + zlib.crc32(core.encode("utf-8")) % (ROWS - MARKS) if core else 0
-            mark = 64 + zlib.crc32(_shape(word).encode("utf-8")) % (MARKS - 64)
-            both = row << 16 | mark
+            both = (_row(core) if core else 0) << 16 | _row("\0" + _form(word))
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             if len(word) <= 40:
                 self.memo[word] = both
         return both
 
-    def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of a text's words in order, and rows of its marks."""
-        words = text.split()
-        both = np.fromiter(map(self, words), np.int64, len(words))
-        rows, n = both >> 16, len(words)
-        marks = [both & 0xFFFF]
-        if n:
-            # repeats: the same word again, the same line again, few different words; and the length, by powers of two
-            again = int((rows[1:] == rows[:-1]).sum())
-            marks.append(np.full(again, 1))
-            lines = [x for x in text.split("\n") if x.strip()]
-            marks.append(np.full(min(n, (len(lines) - len(set(lines))) * max(1, n // max(1, len(lines)))), 2))
-            marks.append(np.full(n, 3 + min(7, 8 * len(set(words)) // (n + 1))))
-        marks.append(np.full(max(1, n), 16 + min(31, n.bit_length())))
-        return rows, np.concatenate(marks)
+    def __call__(self, text: str) -> np.ndarray:
+        words: list[str] = []
+        ends, kinds, seen = [], [], set()
+        for line in text.split("\n"):
+            own = line.split()
+            if own:
+                words += own
+                ends.append(2 * len(words))
+                kinds.append(self.line_ends[line in seen])
+                seen.add(line)
+        both = np.fromiter(map(self._word, words), np.int64, len(words))
+        run = np.empty(2 * len(words), np.int64)
+        run[::2], run[1::2] = both >> 16, both & 0xFFFF
+        run = np.insert(run, ends, kinds)
+        return run[run > 0]
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +97,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
-        number, total = WordRows(), np.zeros(ROWS * DIM)
+        number, total = TokenRows(), np.zeros(ROWS * DIM)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
+            for at in range(0, whole.num_rows, 1024):
                 gap = np.full(SPAN, -1)
                 parts: list[np.ndarray] = []
-                for t in whole.column(0).slice(at, 256).to_pylist():
+                for t in whole.column(0).slice(at, 1024).to_pylist():
                     if t:
-                        parts += [number.text(t)[0], gap]
+                        parts += [number(t), gap]
                 if not parts:
                     continue
                 rows = np.concatenate(parts)
@@ -108,7 +115,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         for k in range(NONZERO):
                             total += np.bincount(a + place[b, k], sign[b, k], ROWS * DIM)
         table = total.reshape(ROWS, DIM).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROWS), pa.int32()), pa.array(list(table), pa.list_(pa.field("element", pa.int64(), False)))], out.names)
+        used = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(table[used]), pa.list_(pa.field("element", pa.int64(), False)))], out.names)
 
     sums = docs.select("text").mapInArrow(run, out).groupBy("row").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIM)])
     found = sums.toPandas()  # ROWS rows
@@ -118,31 +126,33 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     # frequent neighbours dominate sums: damp, then unit length
     table = np.sign(table) * np.log1p(np.abs(table))
     norm = np.linalg.norm(table, axis=1, keepdims=True)
-    table = table / np.maximum(norm, 1e-9)
-    # marks have no context; they keep plain random vectors
-    rng = np.random.default_rng(11)
-    marks = rng.standard_normal((MARKS, DIM))
-    table[:MARKS] = marks / np.linalg.norm(marks, axis=1, keepdims=True)
-    return table.astype(np.float32)
+    return (table / np.maximum(norm, 1e-9)).astype(np.float32)
+
+
+def pool(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mean and spread of the vectors of a text's tokens, and how many there are."""
+    out = np.zeros(POOLED, np.float32)
+    if len(rows):
+        own, n = np.unique(rows, return_counts=True)
+        v, w = table[own], (n / len(rows)).astype(np.float32)
+        mean = w @ v
+        out[:DIM], out[DIM:-1] = mean, np.sqrt(np.maximum(w @ (v * v) - mean * mean, 0))
+        out[-1] = np.log1p(len(rows))
+    return np.round(out, 5)
 
 
 def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, x: mean of a text's word vectors beside the mean of its marks' vectors."""
+    """doc_id, x: the pooled vectors of each text's tokens."""
     out = schema(doc_id=docs.schema["doc_id"].dataType, x=T.ArrayType(T.FloatType(), False))
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # ROWS x DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = WordRows()
+        number = TokenRows()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                x = np.zeros((batch.num_rows, 2 * DIM), np.float32)
-                for k, t in enumerate(batch.column(1).to_pylist()):
-                    rows, marks = number.text(t or "")
-                    if len(rows):
-                        x[k, :DIM] = np.bincount(rows, minlength=ROWS).astype(np.float32) @ table / len(rows)
-                    x[k, DIM:] = np.bincount(marks, minlength=MARKS)[:MARKS].astype(np.float32) @ table[:MARKS] / len(marks)
-                x = np.round(x, 5)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.field("element", pa.float32(), False)))], out.names)
+                x = [pool(number(t or ""), shared.value) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.field("element", pa.float32(), False)))], out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
@@ -202,6 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     one class alone: every score is that class's share, 0.5 without any. Empty table: empty result.
     Repeated rows are scored each. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vectors = cut(pooled(picked, word_vectors(picked)))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
@@ -215,7 +226,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, 2 * DIM).astype(np.float64)
+            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, POOLED).astype(np.float64)
             p = np.round(network.score(x), 9) if network else np.full(batch.num_rows, flat)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], out.names

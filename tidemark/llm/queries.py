@@ -75,9 +75,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import identify
+    """Declared language from markup in the text or the column lang, suffix of an address in the text, host from source."""
+    from .language_id import document_evidence, identify
 
-    return identify(table(spark, sf_dir, "documents")).drop("_key")
+    docs = document_evidence(table(spark, sf_dir, "documents"))
+    return identify(docs, "doc_id", "text", "markup_lang", "source", "suffix").drop("_key")
 
 
 def op10_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

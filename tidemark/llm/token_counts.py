@@ -9,32 +9,41 @@ Two deterministic machines run over a text and annotate their transitions with e
   best split of what is before it - the one whose pair stays unmerged - so the count of every
   prefix is one more than that of a shorter prefix, and no merge list is replayed.
 
-A text is cut into chunks of fixed length. Whatever the state before a chunk, the machine is
+Texts are cut into chunks of fixed length. Whatever the state before a chunk, the machine is
 in its start state where white space follows a sign, so a chunk's state map is (head, tokens
-between first and last such place, tail). Maps compose associatively; a prefix scan over a
-text's maps gives the count.
+between first and last such place, tail). Maps compose associatively: a task composes the chunks it reads by a prefix
+scan over all of them that starts anew at each text, and the pieces of a text that several tasks read are
+composed by another.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import BOOL, LONG, schema
+from ._common import BOOL, LONG, STRING, schema, small_batches
 
 # Unicode White_Space, which the split rule's \s means. Fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 # Suffixes that the split rule takes off after an apostrophe. Fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-CHUNK = 1 << 16
+#: Characters of a chunk, and of the pieces that a longer text is dealt out in, each a row of its own.
+CHUNK = 1 << 14
+PIECE = 1 << 20
+#: Texts of one scan.
+ROWS = 256
 #: Bounds of the memory that the machines keep of what they have seen; beyond it they forget and go on.
 MEMO_SEGMENTS = 200_000
 MEMO_PAIRS = 400_000
@@ -67,6 +76,9 @@ class CountingTransducer:
         as_bytes = lambda s: bytes(letters[c] for c in s)
         vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.mark = os.path.commonprefix(self.specials)
+        if any(c in SPACES for x in self.specials for c in x):
+            raise ValueError("special strings with white space inside are not compiled")
         self._special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         # rank of a token: the merge that makes it; single bytes come first
         self.rank: dict[bytes, int] = {bytes([b]): b for b in range(256)}
@@ -228,11 +240,13 @@ class CountingTransducer:
         first = _SYNC.search(chunk)
         if first is None:
             return chunk, 0, None
-        i = first.start()
-        j = i
-        for found in _SYNC.finditer(chunk, max(i, len(chunk) - 512)):
-            j = found.start()
-        return chunk[:i], self.between(chunk[i:j]) if j > i else 0, chunk[j:]
+        i = j = first.start()
+        for back in (48, 512):  # any such place will do; the later, the shorter the tail
+            for found in _SYNC.finditer(chunk, max(i, len(chunk) - back)):
+                j = found.start()
+            if j > i:
+                break
+        return chunk[:i], self.tokens(chunk[i:j]) if j > i else 0, chunk[j:]
 
     def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
         """State map of a then b; associative."""
@@ -240,38 +254,44 @@ class CountingTransducer:
             head, n, tail = self.state_map(a[0] + b[0])
             if tail is None or b[2] is None:
                 return (head, b[1], b[2]) if tail is None else (head, n, tail)
-            return head, n + self.between(tail) + b[1], b[2]
+            return head, n + self.tokens(tail) + b[1], b[2]
         joined = a[2] + b[0]
         if b[2] is None:
             return a[0], a[1], joined
-        return a[0], a[1] + self.between(joined) + b[1], b[2]
+        return a[0], a[1] + self.tokens(joined) + b[1], b[2]
 
-    def scan(self, maps: list) -> list:
-        """Inclusive prefix scan by doubling: log2 rounds of independent compositions."""
-        far = 1
-        while far < len(maps):
-            maps = [self.compose(maps[i - far], m) if i >= far else m for i, m in enumerate(maps)]
+    def scan(self, maps: list, text: list[int]) -> list:
+        """Inclusive prefix scan of the maps by doubling, within each run of equal numbers in ``text``: log2 rounds of independent compositions."""
+        far, longest = 1, max(Counter(text).values(), default=0)
+        while far < longest:
+            maps = [self.compose(maps[i - far], m) if i >= far and text[i - far] == text[i] else m for i, m in enumerate(maps)]
             far *= 2
         return maps
 
-    def reduce(self, maps: list) -> tuple[str, int, str | None]:
-        """The last value of the scan, by pairs."""
-        while len(maps) > 1:
-            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def plain(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return self.between(text)
-        head, n, tail = self.reduce([self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return self.between(head) + n + (self.between(tail) if tail else 0)
+    def maps_of(self, texts: list[str], chunk: int = CHUNK) -> list[tuple[str, int, str | None]]:
+        """State map of each text, composed from those of its chunks; an empty text has one empty chunk."""
+        owner, maps = [], []
+        for k, text in enumerate(texts):
+            for i in range(0, max(1, len(text)), chunk):
+                owner.append(k)
+                maps.append(self.state_map(text[i : i + chunk]))
+        done = self.scan(maps, owner)
+        return [done[i] for i in range(len(done)) if i + 1 == len(done) or owner[i + 1] != owner[i]]
+
+    def tokens(self, s: str) -> int:
+        """Tokens of text that begins and ends in the start state; a special string inside it is one token, as the library has it."""
+        if self._special is None or self.mark not in s or not any(x in s for x in self.specials):
+            return self.between(s)
+        parts = self._special.split(s)
+        return len(parts) - 1 + sum(self.between(p) for p in parts if p)
+
+    def finish(self, state: tuple[str, int, str | None]) -> int:
+        """Tokens of a whole text from its state map."""
+        head, n, tail = state
+        return self.tokens(head) + n + (self.tokens(tail) if tail else 0)
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text; special strings inside it are one token each, as the library has it."""
-        if self._special is None or not any(s in text for s in self.specials):
-            return self.plain(text, chunk)
-        parts = self._special.split(text)
-        return len(parts) - 1 + sum(self.plain(p, chunk) for p in parts if p)
+        return self.finish(self.maps_of([text], chunk)[0])
 
 
 @lru_cache(maxsize=2)
@@ -280,22 +300,54 @@ def transducer(path: str) -> CountingTransducer:
     return CountingTransducer(path)
 
 
+def _mapped(rows: DataFrame, tokenizer: str, *carried: str) -> DataFrame:
+    """The carried columns, then head, n, tail: the state map of ``text``."""
+    out = T.StructType([*(rows.schema[c] for c in carried), *schema(head=STRING, n=LONG, tail=STRING)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(tokenizer)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                maps = machine.maps_of(batch.column(len(carried)).to_pylist())
+                ends = [pa.array(c, k) for c, k in zip(zip(*maps, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *ends], out.names)
+
+    return rows.select(*carried, "text").mapInArrow(run, out)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (``n_tokens > limit``) of every whole text.
 
-    ``tokenizer``: path of a byte-level BPE vocabulary that every executor can read. One pass without
-    shuffle; rows of one batch are in memory at a time. Null and empty texts: 0 bytes, 0 tokens. Null
+    ``tokenizer``: path of a byte-level BPE vocabulary that every executor can read. A text of over PIECE characters is
+    cut into rows of that many, which are dealt out, so that no task reads a long text alone; what is
+    composed at the end is their maps, 2,048 of a text at most (2 GB). Other texts need no shuffle. Rows of one batch are
+    in memory at a time. Null and empty texts: 0 bytes, 0 tokens. Null
     or repeated ids and repeated rows are counted each. Empty table: empty result. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     out = schema(doc_id=docs.schema[id_col].dataType, n_bytes=LONG, n_tokens=LONG, over_limit=BOOL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for batch in batches:
-            n = [machine.count(t) if t else 0 for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            )
-
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, out)
+            n = [machine.finish(m) for m in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], out.names)
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        """The map of a text from those of its pieces."""
+        rows, machine = rows.sort_values("piece"), transducer(tokenizer)
+        maps = [(h, n, None if t is None else t) for h, n, t in zip(rows["head"], rows["n"], rows["tail"], strict=True)]
+        head, n, tail = machine.scan(maps, [0] * len(maps))[-1]
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "n_bytes": rows["n_bytes"].iloc[:1], "head": [head], "n": [n], "tail": [tail]})
+
+    # by bytes, as a text's characters are not counted without reading it
+    short = _mapped(picked.where(F.col("n_bytes") <= PIECE), tokenizer, "doc_id", "n_bytes")
+    long = picked.where(F.col("n_bytes") > PIECE).withColumn("row", F.monotonically_increasing_id())
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    pieces = long.select("doc_id", "n_bytes", "row", F.posexplode(F.transform(places, lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))).alias("piece", "text"))
+    kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *schema(n_bytes=LONG, head=STRING, n=LONG, tail=STRING)])
+    whole = _mapped(pieces.repartition("row", "piece"), tokenizer, "doc_id", "n_bytes", "row", "piece").groupBy("row").applyInPandas(joined, kind)
+    return short.unionByName(whole).mapInArrow(finished, out)
