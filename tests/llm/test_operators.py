@@ -73,13 +73,22 @@ def test_quality_rules(docs, rows, none):
 
 
 def test_quality_rules_adapt(spark):
-    from tidemark.llm.quality_rules import bucket, bucket_floor, quality_rules
+    from tidemark.llm._common import cut
+    from tidemark.llm.quality_rules import bucket, bucket_floor, measure, quality_rules, thresholds
 
     rnd = random.Random(2)
-    clean = [(i, sentence(rnd, 100, 10**6), "en", f"s{i % 2}", 0, "", 0) for i in range(300)]
-    junk = [(1000 + i, " ".join(w + "###" for w in sentence(rnd, 100, 10**6).split()), "en", f"s{i % 2}", 0, "", 0) for i in range(60)]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(clean + junk, SCHEMA)).collect()}
+    # s0 writes plain prose, s1 one with a few signs in each text: what is odd in one is usual in the other
+    signs = lambda n: " ".join(w + ("#" if i < n else "") for i, w in enumerate(sentence(rnd, 100, 10**6).split()))
+    clean = [(i, signs(rnd.randrange(8, 14) if i % 2 else 0), "en", f"s{i % 2}", 0, "", 0) for i in range(2000)]
+    junk = [(5000 + i, signs(12 if i % 2 == 0 else 100), "en", f"s{i % 2}", 0, "", 0) for i in range(200)]
+    table = spark.createDataFrame(clean + junk, SCHEMA)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(table).collect()}
     assert all(got[r[0]] for r in clean) and not any(got[r[0]] for r in junk)
+    fence = {r["_source"]: r["symbol_pm_max"] for r in thresholds(cut(measure(table))).collect()}
+    assert fence["s0"] < fence["s1"] / 2
+    # nothing stands apart: nothing goes
+    even = [(i, signs(i % 40), "en", "s", 0, "", 0) for i in range(400)]
+    assert quality_rules(spark.createDataFrame(even, SCHEMA)).where("kept").count() == 400
     numbers = spark.range(5000)
     for r in numbers.select("id", bucket_floor(bucket(F.col("id"))).alias("low"), bucket_floor(bucket(F.col("id")) + 1).alias("high")).collect():
         assert r["low"] <= r["id"] < r["high"] and r["high"] - r["low"] <= max(1, r["id"] / 16)
@@ -101,7 +110,7 @@ def test_sharding(docs, rows, none):
     assert shard_by_bytes(none, 7).count() == 0
 
 
-def test_token_counts(docs, rows, none):
+def test_token_counts(spark, docs, rows, none, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -116,13 +125,18 @@ def test_token_counts(docs, rows, none):
     alphabet = [*"ab 's'tllre\n\t.,!?12é日 \x1c<|>", "the", "ing", " of", "\r\n", "<|endoftext|>"]
     for _ in range(1500):
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))
-        # any cutting into chunks gives the same count, and so does the prefix scan
+        # any cutting into chunks gives the same count
         assert machine.count(text, chunk=5) == machine.count(text) == count(text), text
-        maps = [machine.state_map(text[i : i + 4]) for i in range(0, len(text), 4)]
-        if maps:
-            head, n, tail = machine.scan(maps)[-1]
-            assert "<|endoftext|>" in text or machine.between(head) + n + (machine.between(tail) if tail else 0) == count(text)
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 90))) for _ in range(40)]
+    assert [machine.finish(m) for m in machine.maps_of(texts, 7)] == [count(t) for t in texts]
     assert token_counts(none, path).count() == 0
+    # texts longer than a piece: rows of their own, composed at the end; special strings may be cut by the pieces
+    from tidemark.llm import token_counts as t
+
+    monkeypatch.setattr(t, "PIECE", 37)
+    assert multiset(token_counts(docs.where("length(text) < 20000"), path)) == Counter((r[0], len(r[1].encode()), n := count(r[1]), n > 1024) for r in rows if r[1] is not None and len(r[1]) < 20000)
+    odd = spark.createDataFrame([(i, x, "en", "s", 1, "", 1) for i, x in enumerate(texts + ["a<|endoftext|>b " * 30, "x" * 500 + " y"])], SCHEMA)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(odd, path).collect()} == {i: count(x) for i, x in enumerate(texts + ["a<|endoftext|>b " * 30, "x" * 500 + " y"])}
 
 
 def test_packing(docs, rows, none):
@@ -187,12 +201,12 @@ def linked_classes(sets, ids, link):
     return {i: min((ids[j] for j in own if ids[j] is not None), default=None) for own in members.values() for i in own}
 
 
-@pytest.mark.parametrize("long_list", [16, 2])
-def test_jaccard_join(spark, docs, rows, none, long_list, monkeypatch):
+@pytest.mark.parametrize("frequent, remembered", [(32, 1 << 18), (6, 1)])
+def test_jaccard_join(spark, docs, rows, none, frequent, remembered, monkeypatch):
     from tidemark.llm import jaccard_join as j
 
-    monkeypatch.setattr(j, "LONG_LIST", long_list)
-    monkeypatch.setattr(j, "FREQUENT", 3 * long_list)
+    monkeypatch.setattr(j, "REMEMBERED", remembered)
+    monkeypatch.setattr(j, "FREQUENT", frequent)
 
     def shingles(text):
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
@@ -205,6 +219,39 @@ def test_jaccard_join(spark, docs, rows, none, long_list, monkeypatch):
     assert j.similarity_classes(none).count() == 0
 
 
+def test_components(spark):
+    """A path of 1,000 in random order, a star, a ring and pairs; no links."""
+    from tidemark.llm._common import components
+
+    rnd = random.Random(9)
+    path = rnd.sample(range(1000), 1000)
+    edges = [*zip(path, path[1:]), *((2000, 2000 + i) for i in range(1, 60)), *((3000 + i, 3000 + (i + 1) % 50) for i in range(50)), (5001, 5000), (7, 7)]
+    want = {**{i: 0 for i in range(1000)}, **{2000 + i: 2000 for i in range(60)}, **{3000 + i: 3000 for i in range(50)}, 5000: 5000, 5001: 5000}
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long")
+    assert {r["node"]: r["root"] for r in components(table, rounds=15).collect()} == want
+    assert components(table.limit(0)).count() == 0
+
+
+def test_jaccard_join_chains(spark):
+    """Versions of one page, each linked to the next alone, and a hub whose copies differ from each other."""
+    from tidemark.llm.jaccard_join import similarity_classes
+
+    rnd = random.Random(31)
+    words, texts = [f"p{i}" for i in range(120)], []
+    for k in range(40):
+        texts.append(" ".join(words))
+        for at in (3 * k % 120, (3 * k + 60) % 120):
+            words[at] = f"v{k}x{at}"
+    hub = [f"h{i}" for i in range(150)]
+    texts += [" ".join(hub)] + [" ".join(f"c{k}y{i}" if i in (a, a + 1) else w for i, w in enumerate(hub)) for k in range(60) for a in [rnd.randrange(148)]]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    ids = list(range(len(texts)))
+    root = linked_classes(sets, ids, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    table = spark.createDataFrame([(i, t, "en", "s", 1, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in similarity_classes(table).collect()} == root
+    assert len({root[i] for i in range(40)}) < 40 and len({root[i] for i in range(40, len(texts))}) < 10
+
+
 def test_line_dedup(spark, docs, rows, none):
     from tidemark.llm.line_dedup import dedup_lines, jaccard
 
@@ -228,6 +275,11 @@ def test_line_dedup(spark, docs, rows, none):
                 first.append(bare)
             kept.append(line)
         assert got[i]["text"] == "\n".join(kept) and got[i]["n_removed"] == len(t.split("\n")) - len(kept)
+    clash = table.selectExpr("*", *[f"doc_id + 7 AS {c}" for c in ("_gone", "_fuzzy", "_key", "gone", "fuzzy", "gone_key", "lines", "line_id", "row", "row_key", "at", "n_lines")])
+    again = dedup_lines(clash)
+    assert again.columns == [*[c for c in clash.columns if c != "n_lines"], "n_lines", "n_removed", "n_fuzzy"]
+    for r in again.collect():
+        assert r["text"] == got[r["doc_id"]]["text"] and r["_key"] == r["gone"] == r["_fuzzy"] == r["lines"] == r["doc_id"] + 7 and r["n_lines"] == got[r["doc_id"]]["n_lines"]
     assert set(dedup_lines(docs).columns) == {*docs.columns, "n_lines", "n_removed", "n_fuzzy"}
     assert dedup_lines(docs).count() == len(rows) and dedup_lines(none).count() == 0
     recall = [(a, b) for a in range(60) for b in [a + 100]]
@@ -334,6 +386,71 @@ def test_decontamination(spark, docs, rows, none):
         assert common_length(a, b) == best[-1][-1]
 
 
+def test_decontamination_recall(spark):
+    """Against all documents x items, each item compared with every stretch of words as long as two blocks and twice the item."""
+    from tidemark.llm import decontaminate as d
+
+    rnd = random.Random(18)
+    bench = [(n, sentence(rnd, rnd.randrange(10, 70), 3000) + ". So it is " + sentence(rnd, 3, 3000) + ".") for n in range(60)]
+    items = [d.Item(n, n, t) for n, t in bench]
+    texts = []
+    for k in range(90):
+        own = list(items[k % 60].words)
+        for i in range(len(own)):  # from verbatim to beyond recognition
+            if rnd.random() < (k // 15) * 0.07:
+                own[i] = "w%03d" % rnd.randrange(3000)
+        texts.append(sentence(rnd, rnd.randrange(5, 150), 3000) + " " + " ".join(own) + " " + sentence(rnd, 60, 3000))
+    texts += [None, "", "  ", items[0].words[0]] + [sentence(rnd, 400, 3000) for _ in range(20)]
+    brute = set()
+    for n, t in enumerate(texts):
+        own = d.words(t or "")
+        for item in items:
+            wide = 2 * (d.BLOCK + len(item.words))
+            if any(item.found_in(own[at : at + wide]) for at in range(0, max(1, len(own) - len(item.words) // 2), 4)):
+                brute.add((n, item.number))
+    table = spark.createDataFrame([(n, t, "en", "s", 1, "", 1) for n, t in enumerate(texts)], SCHEMA)
+    found = {(r["doc_id"], i) for r in d.find_leaks(table, spark.createDataFrame(bench, "item_id long, text string")).collect() for i in r["item_ids"]}
+    assert len(brute) > 60 and len(found & brute) >= 0.9 * len(brute) and len(found - brute) <= 0.02 * len(brute)
+
+
+def test_decontamination_words(spark):
+    """Hashed words are those of ``words``, whatever the script; several rounds find what one finds."""
+    from tidemark.llm import decontaminate as d
+
+    rnd = random.Random(4)
+    signs = [*"abcXYZ019_ .,-\n\t'", "é", "ß", "İ", "Σ", "日", "😀", "𝔘", "“", "\u00a0", "١"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(0, 80))) for _ in range(200)] + ["", "x" * 3000]
+    hashes, first = d.hashed_words(texts)
+    named = {}
+    for k, t in enumerate(texts):
+        own = hashes[first[k] : first[k + 1]].tolist()
+        assert len(own) == len(d.words(t)), t
+        for h, w in zip(own, d.words(t), strict=True):
+            assert named.setdefault(h, w) == w
+    assert len(set(named.values())) == len(named) and len(d.hashed_words([""])[0]) == 0
+    old = d.CHARS
+    try:
+        d.CHARS = 7
+        assert (d.hashed_words(texts)[0] == hashes).all()
+    finally:
+        d.CHARS = old
+
+
+def test_decontamination_rounds(spark, monkeypatch):
+    from tidemark.llm import decontaminate as d
+
+    rnd = random.Random(6)
+    bench = spark.createDataFrame([(n, sentence(rnd, 40, 10**5)) for n in range(25)], "item_id long, text string")
+    rows = [(r["item_id"], sentence(rnd, 30, 10**5) + " " + r["text"] + " " + sentence(rnd, 50, 10**5), "en", "s", 1, "", 1) for r in bench.collect()]
+    table = spark.createDataFrame(rows + [(100 + i, sentence(rnd, 200, 10**5), "en", "s", 1, "", 1) for i in range(10)], SCHEMA)
+    want = {n: [n] if n < 25 else [] for n in [*range(25), *range(100, 110)]}
+    for rank, items, fan in ((8, 1000, 2), (256, 7, 32)):
+        monkeypatch.setattr(d, "RANK", rank)
+        monkeypatch.setattr(d, "ITEMS", items)
+        monkeypatch.setattr(d, "FAN_IN", fan)
+        assert {r["doc_id"]: r["item_ids"] for r in d.find_leaks(table, bench).collect()} == want
+
+
 def test_decontamination_long_items(spark):
     from tidemark.llm import decontaminate as d
 
@@ -371,6 +488,60 @@ def test_language_id(spark, docs, rows, none):
     assert found.where("language = declared").count() >= 0.9 * found.count()
 
 
+def test_language_id_brute_force(spark):
+    """The posterior recomputed with dictionaries and loops, declared language, host and suffix included."""
+    import math
+
+    import numpy as np
+
+    from tidemark.llm import language_id as li
+
+    rnd = random.Random(16)
+    word = {c: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 7))) for _ in range(30)] for c, letters in (("en", "etaoinshr"), ("fr", "eaisnrtou"), ("de", "enisratdh"))}
+    rows = []
+    for i in range(150):
+        c = rnd.choice("en en fr de".split())
+        said = rnd.choice([c, c, c, "fr", None, "x!", "EN-us"])
+        mail = rnd.choice(["", "", f" a@b.example.{c}", " see http://x.y.com/"])
+        rows.append((i, " ".join(rnd.choice(word[c]) for _ in range(rnd.choice([0, 1, 2, 3, 40]))) + mail, said, rnd.choice(["h1", "h2", None])))
+    rows += [(900, None, "en", "h1"), rows[3], (901, '<html lang="de"> q', "en", "h1")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = li.document_evidence(table)
+    got = li.identify(told, "doc_id", "text", "markup_lang", "source", "suffix").collect()
+    seen = [(r["text"], r["markup_lang"], r["source"] or "", r["suffix"]) for r in told.collect()]
+    assert {s for *_, s in seen} == {"", "en", "fr", "de", "com"} and seen[-1][1] == "de"
+    code = lambda x: m.group(1).lower() if (m := re.match(r"\s*([A-Za-z]{2,3})(?![A-Za-z])", x or "")) else None
+    counts = [li.histograms([t])[0].astype(float) for t, *_ in seen]
+    codes = sorted({code(m) for _, m, _, _ in seen} - {None})
+    share = {c: sum((h / max(h.sum(), 1) for h, (_, m, _, _) in zip(counts, seen) if code(m) == c), np.zeros(li.FEATURES)) for c in codes}
+    whole = sum(share.values())
+    logp = {c: np.log(((v + li.MODEL_LEAN * whole / whole.sum()) / (v + li.MODEL_LEAN * whole / whole.sum()).sum() + 1e-3 / li.FEATURES) / (1 + 1e-3)) for c, v in share.items()}
+    ll = [[float(h @ logp[c]) * min(h.sum(), li.TEXT_WEIGHT) / max(h.sum(), 1) for c in codes] for h in counts]
+    best = [max(range(len(codes)), key=lambda j: x[j]) if h.sum() else None for x, h in zip(ll, counts)]
+    number = lambda test: [sum(b == j and test(s) for b, s in zip(best, seen)) for j in range(len(codes))]
+    n = number(lambda s: True)
+    base = [(x + 1) / (sum(n) + len(codes)) for x in n]
+    want = Counter()
+    for (text, said, host, suffix), x, b in zip(seen, ll, best):
+        of_suffix, of_host = number(lambda s: s[3] == suffix), number(lambda s: s[3] == suffix and s[2] == host)
+        lean = [(c + li.SUFFIX_LEAN * p) / (sum(of_suffix) + li.SUFFIX_LEAN) for c, p in zip(of_suffix, base)]
+        prior = [math.log((c + li.HOST_LEAN * p) / (sum(of_host) + li.HOST_LEAN)) for c, p in zip(of_host, lean)]
+        if b is None:
+            want[("und", 0.0, True)] += 1
+            continue
+        post = []
+        for j in range(len(codes)):
+            p = x[j] + prior[j]
+            if code(said):
+                heard = sum(q == j and code(s[1]) == code(said) for q, s in zip(best, seen))
+                total = sum(q == j and code(s[1]) is not None for q, s in zip(best, seen))
+                p += math.log((heard + li.DECLARED_LEAN / len(codes)) / (total + li.DECLARED_LEAN))
+            post.append(p)
+        sure = 1 / sum(math.exp(p - max(post)) for p in post)
+        want[(codes[post.index(max(post))], round(sure, 3), sure < 0.5)] += 1
+    assert Counter((r["language"], round(r["confidence"], 3), r["rejected"]) for r in got) == want
+
+
 @pytest.mark.parametrize("few", [1, 4])
 def test_language_id_small_language(spark, few):
     from tidemark.llm.language_id import identify
@@ -406,6 +577,50 @@ def test_page_language_id(spark, tmp_path):
         assert [got[at + i]["language"] for i in range(2)] == ["fr", "de"], at
 
 
+def test_quality_classifier_brute_force(spark, monkeypatch):
+    """Word vectors and pooled texts recomputed word by word, scores by a network fitted anew on them."""
+    import numpy as np
+
+    from tidemark.llm import quality_classifier as q
+
+    monkeypatch.setattr(q, "ROWS", 97)
+    rnd = random.Random(8)
+    texts = [None, "", "A!! 12", "One one\nline line\nline line"] + [("### " if i % 3 == 0 else "") + sentence(rnd, rnd.randrange(1, 40), 30) + "\n" + sentence(rnd, 3, 4) for i in range(120)]
+    ids = list(range(len(texts)))
+    place, sign = q.index_vectors()
+    tokens = []
+    for t in texts:
+        own, lines = [], set()
+        for line in (t or "").split("\n"):
+            for w in line.split():
+                core = "".join(c for c in w if c.isalpha()).lower()
+                own += ([q._row(core)] if core else []) + [q._row("\0" + q._form(w))]
+            if line.split():
+                own.append(q._row("\0line again" if line in lines else "\0line"))
+                lines.add(line)
+        tokens.append(own)
+        assert q.TokenRows()(t or "").tolist() == own
+    table = np.zeros((97, q.DIM))
+    for own in tokens:
+        for i, a in enumerate(own):
+            for j in range(max(0, i - q.SPAN), min(len(own), i + q.SPAN + 1)):
+                if i != j:
+                    for k in range(q.NONZERO):
+                        table[a, place[own[j], k]] += sign[own[j], k]
+    table = np.sign(table) * np.log1p(np.abs(table))
+    table = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    assert np.allclose(q.word_vectors(docs), table, atol=1e-6)
+    x = np.array([np.round(np.concatenate([v.mean(0), v.std(0), [np.log1p(len(v))]]), 5) if len(v := table[own]) else np.zeros(q.POOLED) for own in tokens])
+    y = {i: int(i % 3 != 1) for i in ids}
+    labels = spark.createDataFrame([(i, v) for i, v in y.items()] + [(3, None)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in q.quality_scores(docs, labels).collect()}
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    learn = sorted((i for i in ids if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashed[i])
+    fitted = q.Network(x[learn], np.array([y[i] for i in learn], float))
+    assert np.abs(fitted.score(x) - np.array([got[i] for i in ids])).max() < 0.02
+
+
 def test_quality_classifier(spark, docs, rows, none):
     from tidemark.llm.quality_classifier import quality_scores
 
