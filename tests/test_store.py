@@ -1,14 +1,20 @@
 """The store against a dict: random writes, flushes, compactions, reopening; transactions; damaged logs."""
 
+import os
 import random
 import struct
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.config import StoreConfig
-from tidemark.operators.folds import LRU
+from tidemark.functions import codec
+from tidemark.operators import changelog
+from tidemark.operators.folds import LRU, ShardedLRU
+from tidemark.operators.transactions import Isolation
 from tidemark.sources import files, log_frames
 from tidemark.store import Conflict, KVStore
 
@@ -132,6 +138,123 @@ def test_damaged_log(spark, tail, stop):
     assert (good.count(), aside.count()) == (2, 3)
 
 
+def test_several_logs(spark):
+    """A later file wins, wherever in it the record stands."""
+    old = frame(entry(b"x", b"1", 1)) + frame(entry(b"k", b"old", 2))
+    frames = log_frames.read_frames(spark.createDataFrame([("wal-1", bytearray(frame(entry(b"k", b"new", 3)))), ("wal-0", bytearray(old))], "path string, content binary"))
+    assert {r["key"]: bytes(r["value"]) for r in changelog.live(log_frames.recover(frames)).collect()} == {"x": b"1", "k": b"new"}
+
+
+def test_decoders_agree(spark):
+    """The parser's decoder and the codec's expression say the same of sound, cut and flipped entries."""
+    rnd, good = random.Random(5), entry("k张".encode(), b"value", 7)
+    bodies = [good, entry(b"", b"", 1), b"", good[:29], good[:-1], good + b"x", entry(b"k", b"v", 2, version=3)]
+    for _ in range(60):
+        bad = bytearray(good)
+        bad[rnd.randrange(len(bad))] ^= 1 << rnd.randrange(8)
+        bodies.append(bytes(bad))
+    table = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "i int, b binary").coalesce(1)
+    said = [r["d"] for r in table.select("i", codec.decode_entry(F.col("b"), log=True).alias("d")).orderBy("i").collect()]
+    assert [(d["status"], d["key"], d["value"] and bytes(d["value"]), d["deleted"], d["ts"], d["seq"]) for d in said] == [
+        (s, k, v, g, t, q) if v else (s, k, d["value"], g, t, q) for (s, k, v, g, t, q), d in zip(map(log_frames.decode_body, bodies), said, strict=True)
+    ]
+
+
+def run_of(store, *rows):
+    store.write(store.spark.createDataFrame([(k, "DEL" if v is None else "PUT", None if v is None else bytearray(v)) for k, v in rows], "key string, op string, value binary"))
+    store.flush()
+
+
+def test_tombstones_of_the_next_level(spark, tmp_path):
+    """A merge that takes in wider runs keeps their tombstones where a deeper run may hold the key."""
+    store = KVStore.open(spark, config(tmp_path, level0_runs=1, level1_bytes=1, level_multiplier=10**6))
+    run_of(store, ("y", b"1"), ("z", b"1"))
+    assert store.compact()["target"] == 1 and store.compact()["target"] == 2
+    run_of(store, ("a", b"1"), ("z", None))
+    store.compact()
+    assert store.get("z") is None and [r.level for r in store.manifest.runs] == [2, 1]
+    run_of(store, ("a", b"2"), ("b", b"2"))
+    store.compact()
+    assert store.get("z") is None and contents(store) == {"a": b"2", "b": b"2", "y": b"1"}
+
+
+def test_model_of_levels(spark, tmp_path):
+    """Random writes, flushes and compactions over four levels; reads never change by maintenance."""
+    rnd, model = random.Random(14), {}
+    store = KVStore.open(spark, config(tmp_path, level0_runs=1, level1_bytes=1, level_multiplier=2, max_level=4))
+    for step in range(14):
+        low = rnd.randrange(20)
+        rows = [(f"k{k:02d}", None if rnd.random() < 0.45 else b"v%d" % step) for k in rnd.sample(range(low, low + 8), 4)]
+        run_of(store, *rows)
+        model = {k: v for k, v in (model | dict(rows)).items() if v is not None}
+        for _ in range(rnd.randrange(4)):
+            store.compact()
+        assert contents(store) == model, step
+    assert max(r.level for r in store.manifest.runs) == 3
+
+
+def test_maintenance(spark, tmp_path, caplog):
+    store = KVStore.open(spark, config(tmp_path, level0_runs=1))
+    run_of(store, ("a", b"1"))
+    run_of(store, ("a", b"2"), ("b", b"2"))
+    worker = store.compact_in_background(delay=0.1, period=0.1)
+    assert store.compact_in_background() is worker
+    for _ in range(200):
+        if store.manifest.compactions:
+            break
+        time.sleep(0.1)
+    worker.stop()
+    assert store.manifest.compactions > 0 and contents(store) == {"a": b"2", "b": b"2"}
+    assert store.vacuum(older_than=3600) == [] and len(store.vacuum()) >= 3 and store.vacuum() == []
+    assert contents(store) == {"a": b"2", "b": b"2"}
+    run_of(store, ("c", b"3"))
+    store.close()
+    bad = next(r for r in store.manifest.runs if r.min_key == "c")
+    for name in os.listdir(bad.path):
+        os.unlink(os.path.join(bad.path, name))
+    again = KVStore.open(spark, config(tmp_path, level0_runs=1))
+    assert bad.path in caplog.text and contents(again) == {"a": b"2", "b": b"2"}
+
+
+def test_shared_files(spark, tmp_path):
+    """The store over Spark's own file systems: manifests are never replaced."""
+    root = f"file://{tmp_path}"
+    shared = files.file_system(spark, root)
+    assert isinstance(shared, files.SharedFiles) and isinstance(files.file_system(spark, str(tmp_path)), files.LocalFiles)
+    assert shared.create_exclusively(f"{root}/x.json", b"1") and not shared.create_exclusively(f"{root}/x.json", b"2")
+    assert shared.read(f"{root}/x.json") == b"1" and shared.read(f"{root}/none") is None and shared.names(f"{root}/none") == []
+    assert shared.names(root) == ["x.json"] and shared.age(f"{root}/x.json") < 600
+    one = KVStore.open(spark, StoreConfig(data_dir=f"{root}/data", log_dir=f"{root}/log", level0_runs=1, truncate_log=True))
+    two = KVStore.open(spark, one.config)
+    run_of(one, ("a", b"1"))
+    two.put("b", b"2")
+    assert two.refresh().version == 3 and contents(two) == {"a": b"1", "b": b"2"}
+    assert len(two.vacuum()) == 1  # the batch of the attempt that came second; the flushed one is gone already
+    assert one._publish(one.manifest) is False
+
+
+def test_menu(spark, tmp_path):
+    store, said = KVStore.open(spark, config(tmp_path)), []
+    cli.run_menu(store, iter(["1", "2", "9", "4", "get account:002", "exit", "3", "20", "5"]), said.append)
+    assert said[0] == cli.MENU and "user:1003 = (null)" in said[1] and "account:001 = 1000.00" in said[3] and "account:003 = (null)" in said[3]
+    assert said[5].startswith("a number") and "2000.00" in said and any("'found': 20" in x for x in said)
+
+
+def test_caches():
+    cache = ShardedLRU(2, 4)
+    keys = [f"user{i}" for i in range(40)]
+    for k in keys:
+        cache.put(k, k)
+    assert 0 < len(cache) <= 8 and not cache.maps[0].is_empty() and cache.get(keys[-1]) == keys[-1]
+    cache.remove(keys[-1])
+    assert cache.get(keys[-1]) is None
+    cache.clear()
+    assert len(cache) == 0
+    with pytest.raises(ValueError):
+        ShardedLRU(2, 3)
+    assert str(Isolation.SERIALIZABLE).startswith("Serializable (Level 4): ")
+
+
 def test_shell_and_files(spark, tmp_path):
     store = KVStore.open(spark, config(tmp_path))
     ask = lambda line: cli.run_line(store, line)

@@ -13,7 +13,13 @@ MAX_FRAME_BYTES = 10 << 20
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Folders, thresholds and level geometry; ``validate`` rejects what cannot work."""
+    """Folders, thresholds and level geometry; ``validate`` rejects what cannot work.
+
+    ``truncate_log`` deletes a log batch once a run has its rows; without it (the default) batches stay for readers of
+    older versions until ``KVStore.vacuum``. Folders with a scheme, such as hdfs://, may be on any file system that Spark
+    reads. A batch is durable when its write returns, so there is no setting for syncing; Parquet pages are the blocks of
+    a run, ``block_bytes`` their size.
+    """
 
     data_dir: str = "./data/kv-data"
     log_dir: str = "./data/kv-log"
@@ -21,8 +27,7 @@ class StoreConfig:
     block_bytes: int = 4096
     bloom_fpp: float = 0.01
     cache_shards: int = 16
-    sync_every_commit: bool = False
-    truncate_log: bool = True
+    truncate_log: bool = False
     max_level: int = 7
     level_multiplier: int = 10
     level0_runs: int = 4

@@ -43,7 +43,8 @@ def frame(entry: Column) -> Column:
     return F.concat(int_to_bytes(F.crc32(entry)), int_to_bytes(F.octet_length(entry)), entry)
 
 
-def _number(b: Column, at: Column | int, size: int) -> Column:
+def number(b: Column, at: Column | int, size: int) -> Column:
+    """Unsigned big-endian number of ``size`` bytes at the place ``at``, counted from 1."""
     return F.conv(F.hex(F.substring(b, at if isinstance(at, Column) else F.lit(at), F.lit(size))), 16, 10).cast("bigint")
 
 
@@ -54,10 +55,10 @@ def decode_entry(b: Column, log: bool = False) -> Column:
     """
     begin = 19 if log else 3
     size = F.octet_length(b)
-    key_bytes = _number(b, begin, 4)
+    key_bytes = number(b, begin, 4)
     value_at = F.lit(begin + 4) + key_bytes.cast("int")
     safe = (size >= begin + 11) & (key_bytes <= MAX_KEY_BYTES) & (size >= begin + 11 + key_bytes)
-    value_bytes = F.when(safe, _number(b, value_at, 4))
+    value_bytes = F.when(safe, number(b, value_at, 4))
     marker = F.hex(F.substring(b, 2, 1))
     status = (
         F.when(b.isNull() | (size < begin + 11), "SHORT")
@@ -65,7 +66,7 @@ def decode_entry(b: Column, log: bool = False) -> Column:
         .when(~marker.isin(DATA, DELETED), "MARKER")
         .when((key_bytes > MAX_KEY_BYTES) | (size < begin + 11 + key_bytes), "KEY")
         .when((value_bytes > MAX_VALUE_BYTES) | (size != begin + 11 + key_bytes + value_bytes), "VALUE")
-        .when(F.crc32(F.substring(b, F.lit(1), size - 4)) != _number(b, size - 3, 4), "CRC")
+        .when(F.crc32(F.substring(b, F.lit(1), size - 4)) != number(b, size - 3, 4), "CRC")
         .otherwise("OK")
     )
     ok, deleted = status == "OK", marker == DELETED

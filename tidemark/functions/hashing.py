@@ -50,10 +50,18 @@ def bloom_build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
 
 
 def bloom_probe(keys: DataFrame, key: str, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(key, might_contain): all of the key's bits are set. Never false for a key that was added."""
+    """(key, might_contain): all of the key's bits are set. Never false for a key that was added.
+
+    Meets the filter by pieces of 4,096 bytes rather than bit by bit; Spark broadcasts them if they are few.
+    """
+    from .blocks import PIECE_BITS, filter_pieces
+
     wanted = keys.select(F.col(key), F.explode(F.array_distinct(bloom_positions(F.col(key), bits, hashes))).alias("bit"))
-    hit = wanted.join(filter_bits.withColumn("_set", F.lit(1)), "bit", "left")
-    return hit.groupBy(key).agg((F.count("*") == F.count("_set")).alias("might_contain"))
+    placed = wanted.withColumn("piece", F.expr(f"bit div {PIECE_BITS}"))
+    hit = placed.join(filter_pieces(filter_bits), "piece", "left")
+    byte = F.substring("bytes", (F.floor(F.col("bit") % PIECE_BITS / 8) + 1).cast("int"), F.lit(1))
+    is_set = F.coalesce(F.expr("getbit(conv(hex(_byte), 16, 10)::int, (bit % 8)::int)") == 1, F.lit(False))
+    return hit.withColumn("_byte", byte).groupBy(key).agg(F.bool_and(is_set).alias("might_contain"))
 
 
 def string_hash(s: Column) -> Column:

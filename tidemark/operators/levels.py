@@ -41,11 +41,21 @@ def overlapping(catalog: DataFrame, source: DataFrame, target: int) -> DataFrame
     return catalog.where(F.col("level") == target).join(F.broadcast(span), (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))).select(catalog["*"])
 
 
-def merge(rows: DataFrame, bottommost: bool) -> DataFrame:
-    """Newest row of each key over the sources; tombstones go only where no older level can hold the key."""
+def merge(rows: DataFrame, bottommost: bool, older: DataFrame | None = None) -> DataFrame:
+    """Newest row of each key over the sources; tombstones go only where no older run can hold the key.
+
+    ``older`` has the key ranges (min_key, max_key) of deeper runs: a tombstone within one stays. It is as long as
+    a manifest's list of runs, so it is the side that is broadcast.
+    """
     newest = rows.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by(F.struct("op", "value"), "seq").alias("x"))
     out = newest.select("key", "seq", F.col("x.op").alias("op"), F.col("x.value").alias("value"))
-    return out.where(F.col("op") != DEL) if bottommost else out
+    if not bottommost:
+        return out
+    kept = out.where(F.col("op") != DEL)
+    if older is None:
+        return kept
+    hides = out.where(F.col("op") == DEL).join(F.broadcast(older), F.col("key").between(F.col("min_key"), F.col("max_key")), "left_semi")
+    return kept.unionByName(hides)
 
 
 def concat(rows: DataFrame) -> DataFrame:

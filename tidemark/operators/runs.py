@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import block_entry_size
+from ..functions.blocks import encode_block
+from ..functions.codec import block_entry_size, encode_entry
 from .changelog import DEL, PUT, latest
 
 
@@ -66,6 +67,20 @@ def blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     return sized.groupBy("run_id").applyInPandas(fold, "run_id long, key string, block_id long, size long")
 
 
+def builder_stats(split: DataFrame) -> DataFrame:
+    """(run_id, blocks, entries, bytes, average): what a run's blocks hold, the average size rounded down."""
+    per = split.groupBy("run_id").agg((F.max("block_id") + 1).alias("blocks"), F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+    return per.withColumn("average", F.expr("bytes div blocks"))
+
+
+def block_bytes(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """(run_id, block_id, raw) of each block: its entries in their envelopes, in key order. A block is a few kilobytes."""
+    entry = F.struct("key", encode_entry(F.col("key"), F.col("value"), F.lit(False)).alias("value"))
+    held = rows.where(F.col("op") == PUT).join(split.select("run_id", "key", "block_id"), ["run_id", "key"])
+    grouped = held.groupBy("run_id", "block_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return grouped.select("run_id", "block_id", encode_block(F.col("entries")).alias("raw"))
+
+
 def block_index(split: DataFrame) -> DataFrame:
     """(run_id, block_id, first_key, last_key, entries, bytes, offset) of each block."""
     per = split.groupBy("run_id", "block_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("entries"), F.sum("size").alias("bytes"))

@@ -21,6 +21,13 @@ class Isolation(IntEnum):
     def label(self) -> str:
         return self.name.replace("_", " ").title()
 
+    @property
+    def description(self) -> str:
+        return _SAYS[self]
+
+    def __str__(self) -> str:
+        return f"{self.label} (Level {int(self)}): {self.description}"
+
     @property
     def dirty_reads(self) -> bool:
         return self == 0
@@ -41,13 +48,21 @@ class Isolation(IntEnum):
         return self > other
 
 
+_SAYS = {
+    Isolation.READ_UNCOMMITTED: "may see writes that are never committed",
+    Isolation.READ_COMMITTED: "sees committed writes alone, perhaps others at the second look",
+    Isolation.REPEATABLE_READ: "sees the same value of a key at every look, perhaps new keys",
+    Isolation.SNAPSHOT_ISOLATION: "sees one version of the store throughout",
+    Isolation.SERIALIZABLE: "acts as if transactions came one after another",
+}
+
 RECOMMENDED = Isolation.SNAPSHOT_ISOLATION
 
 
 def isolation_levels(spark: SparkSession) -> DataFrame:
-    rows = [(int(x), x.label, x.dirty_reads, x.non_repeatable_reads, x.phantom_reads, x.snapshot, x == RECOMMENDED) for x in Isolation]
+    rows = [(int(x), x.label, str(x), x.dirty_reads, x.non_repeatable_reads, x.phantom_reads, x.snapshot, x == RECOMMENDED) for x in Isolation]
     return spark.createDataFrame(
-        rows, "level int, name string, dirty_reads boolean, non_repeatable_reads boolean, phantom_reads boolean, snapshot boolean, recommended boolean"
+        rows, "level int, name string, text string, dirty_reads boolean, non_repeatable_reads boolean, phantom_reads boolean, snapshot boolean, recommended boolean"
     )
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesfn as b
 from ..functions import codec, hashing
-from ..operators import changelog
-from ..sources import files, log_frames
+from ..sources import files
 from . import fixtures as fx
 from .fixtures import SQL_OPS
 
@@ -93,22 +92,14 @@ def bloom_sizing(spark, sf):
     return spark.createDataFrame(rows, "n long, fpp double, bits long, hashes long")
 
 
-def _filter(spark, sf):
+def filter_of_ops(spark, sf):
+    """(bits set, number of bits, hash functions) of the filter of all keys."""
     known = fx.ops(spark, sf).select("key").distinct()
     n = known.count()
     bits, hashes = hashing.bloom_bits(n, 0.01), hashing.bloom_hashes(n, 0.01)
     return hashing.bloom_build(known, "key", bits, hashes), bits, hashes
 
 
-def bloom_build(spark, sf):
-    return _filter(spark, sf)[0]
-
-
-def bloom_probe(spark, sf):
-    bits_set, bits, hashes = _filter(spark, sf)
-    return hashing.bloom_probe(fx.keys(spark, sf), "key", bits_set, bits, hashes)
-
-
 def cache_shard(spark, sf):
     return fx.ops(spark, sf).select("key").distinct().select("key", hashing.string_hash(F.col("key")).alias("hash"), hashing.shard(F.col("key"), 16).alias("shard"))
 
@@ -135,28 +126,6 @@ def codec_roundtrip(spark, sf):
     return back.select("seq", F.col("d.status").alias("status"), F.col("d.key").alias("key"), F.lower(F.hex("d.value")).alias("value_hex"), F.col("d.deleted").alias("deleted"))
 
 
-def _framed(spark, sf):
-    entry = codec.encode_log_entry(F.col("key"), F.col("value"), F.col("op") == "DEL", F.col("seq") + 1_700_000_000_000, F.col("seq"))
-    return fx.ops(spark, sf).select("seq", codec.frame(entry).alias("raw"))
-
-
-def wal_frame(spark, sf):
-    """Frames of the log, and the same read back by the framing parser."""
-    content = _framed(spark, sf).select(F.format_string("entry-%012d", "seq").alias("path"), F.col("raw").alias("content"))
-    return log_frames.decoded(log_frames.read_frames(content)).select(
-        F.col("entry.seq").alias("seq"), (F.col("length") + 8).alias("bytes"), "status", F.col("entry.key").alias("key"), F.lower(F.hex("entry.value")).alias("value_hex")
-    )
-
-
-def wal_recover(spark, sf):
-    """Recovery over framed rows with planted faults: wrong checksums and versions are skipped, a zero length stops."""
-    log = fx.ops(spark, sf)
-    stop = log.agg(F.expr("min(CASE WHEN seq % 1000 = 901 THEN seq END)").alias("stop"))  # one row
-    sound = log.where((F.col("seq") % 97 != 5) & (F.col("seq") % 89 != 7))
-    kept = sound.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
-    return changelog.live(kept).select("key", b.to_hex(F.col("value")).alias("value_hex"), "seq")
-
-
 def list_files(spark, sf):
     return files.list_files(spark, sf, "*.parquet")
 
@@ -169,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         int_to_bytes, bytes_to_int, long_to_bytes, bytes_to_long, string_to_bytes, bytes_to_string, bytes_compare, bytes_equal, bytes_concat, bytes_slice, fnv1a, to_hex, from_hex,
-        bytes_is_empty, bytes_length, hash_mix, bloom_sizing, bloom_build, bloom_probe, cache_shard, entry_size, codec_encode, codec_length, codec_roundtrip, wal_frame, wal_recover,
+        bytes_is_empty, bytes_length, hash_mix, bloom_sizing, cache_shard, entry_size, codec_encode, codec_length, codec_roundtrip,
         list_files, directory_size,
     )
 }
@@ -206,9 +175,4 @@ ORACLE_SQL = {
     "entry_size": f"WITH {SQL_OPS} SELECT seq, 22 + 2 * strlen(key) + strlen(value) AS bytes FROM ops WHERE op = 'PUT'",
     "codec_length": f"WITH {SQL_OPS} SELECT seq, 14 + strlen(key) + coalesce(strlen(value), 0) AS bytes FROM ops",
     "codec_roundtrip": f"WITH {SQL_OPS} SELECT seq, 'OK' AS status, key, lower(hex(value)) AS value_hex, op = 'DEL' AS deleted FROM ops",
-    "wal_frame": f"WITH {SQL_OPS} SELECT seq, 38 + strlen(key) + coalesce(strlen(value), 0) AS bytes, 'OK' AS status, key, lower(hex(value)) AS value_hex FROM ops",
-    "wal_recover": f"""WITH {SQL_OPS}, sound AS (SELECT * FROM ops WHERE seq % 97 <> 5 AND seq % 89 <> 7
-        AND seq < coalesce((SELECT min(seq) FROM ops WHERE seq % 1000 = 901), 9223372036854775807)),
-      latest AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
-      SELECT key, lower(hex(value)) AS value_hex, seq FROM latest WHERE op = 'PUT'""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import StoreConfig
@@ -72,22 +73,10 @@ def run_catalog(spark, sf):
 
 def run_prune(spark, sf):
     rows = fx.runs_disjoint(spark, sf)
-    wanted = fx.table(spark, sf, "orders").where(F.col("o_orderkey") % 10 == 0).select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("key"))
+    wanted = fx.table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("key"))
     return run_ops.prune(wanted, run_ops.run_catalog(rows, "run_id"))
 
 
-def block_split(spark, sf):
-    return run_ops.blocks(fx.runs(spark, sf), 512).select("run_id", "key", "block_id")
-
-
-def block_meta(spark, sf):
-    return run_ops.block_index(run_ops.blocks(fx.runs(spark, sf), 512)).select("run_id", "block_id", "first_key", "last_key", "entries")
-
-
-def block_index(spark, sf):
-    return run_ops.block_index(run_ops.blocks(fx.runs(spark, sf), 512)).select("run_id", "block_id", "first_key", "offset", "bytes")
-
-
 def level_catalog(spark, sf):
     return fx.catalog(spark, sf).select("level", "run_id", "min_key", "max_key", "bytes")
 
@@ -121,7 +110,10 @@ def tombstone_gc(spark, sf):
 
 
 def compaction_concat(spark, sf):
-    return levels.concat(fx.runs_disjoint(spark, sf)).select("run_id", "key", _hex())
+    """Each row with the key that follows it in its output partition: the next one in order, or none where a partition ends."""
+    rows = levels.concat(fx.runs_disjoint(spark, sf)).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    follows = F.lead("key").over(Window.partitionBy("part").orderBy("at"))
+    return rows.select("run_id", "key", _hex(), follows.alias("next")).select("run_id", "key", "value_hex", (F.col("next").isNull() | (F.col("next") > F.col("key"))).alias("in_order"))
 
 
 def compaction_stats(spark, sf):
@@ -135,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kv_state, kv_put_upsert, kv_get, kv_multi_get, kv_delete, memtable_state, memtable_size, kv_stats, kv_flush_run, flush_epochs, run_catalog, run_prune,
-        block_split, block_meta, block_index, level_catalog, level_stats, level_limits, level_lookup, needs_compaction, compaction_candidates, compaction_merge,
+        level_catalog, level_stats, level_limits, level_lookup, needs_compaction, compaction_candidates, compaction_merge,
         tombstone_gc, compaction_concat, compaction_stats,
     )
 }
@@ -155,9 +147,19 @@ ORACLE_SQL = {
     "memtable_size": _MEMTABLE.format(size="size", ops="ops", entries="entries", more=""),
     "kv_stats": _MEMTABLE.format(size="log_bytes", ops="log_ops", entries="log_entries", more=", CAST(16 AS BIGINT) AS cache_shards"),
     "kv_flush_run": f"WITH {SQL_LATEST} SELECT key, seq, op, lower(hex(value)) AS value_hex FROM latest",
+    "flush_epochs": f"""WITH RECURSIVE {SQL_OPS}, sized AS (SELECT seq, key, op = 'PUT' AS put, length(key) AS k, coalesce(strlen(value), 0) AS v FROM ops),
+      ep AS (SELECT CAST(-1 AS BIGINT) AS epoch, CAST(-1 AS BIGINT) AS last, CAST(0 AS BIGINT) AS ops, CAST(0 AS BIGINT) AS entries, CAST(0 AS BIGINT) AS size UNION ALL
+        SELECT epoch + 1, seq, ops, entries, size FROM (SELECT epoch, seq, row_number() OVER (ORDER BY seq) AS ops, CAST(sum(fresh) OVER w AS BIGINT) AS entries,
+            CAST(sum(delta) OVER w AS BIGINT) AS size, max(seq) OVER () AS final FROM
+          (SELECT epoch, seq, CASE WHEN before IS NULL THEN 1 ELSE 0 END AS fresh,
+             CASE WHEN put AND before IS NULL THEN v + k WHEN put THEN v - before ELSE -coalesce(before, 0) END AS delta FROM
+            (SELECT e.epoch, s.*, lag(CASE WHEN put THEN v ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS before FROM ep e JOIN sized s ON s.seq > e.last) a) b
+          WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c
+        WHERE size >= 1024 OR seq = final QUALIFY row_number() OVER (ORDER BY seq) = 1)
+      SELECT 'main' AS store, epoch, ops, entries, size FROM ep WHERE epoch >= 0""",
     "run_catalog": f"WITH {SQL_CATALOG} SELECT * FROM catalog",
     "run_prune": f"""WITH {SQL_DISJOINT}, catalog AS (SELECT run_id, min(key) AS lo, max(key) AS hi FROM runs_disjoint GROUP BY run_id)
-      SELECT k.key, run_id FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key FROM orders WHERE o_orderkey % 10 = 0) k JOIN catalog ON k.key BETWEEN lo AND hi""",
+      SELECT k.key, run_id FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key FROM orders) k JOIN catalog ON k.key BETWEEN lo AND hi""",
     "level_catalog": f"WITH {SQL_CATALOG} SELECT level, run_id, min_key, max_key, bytes FROM catalog",
     "level_stats": f"WITH {SQL_CATALOG} SELECT level, count(*) AS runs, CAST(sum(bytes) AS BIGINT) AS bytes FROM catalog GROUP BY level",
     "level_limits": "SELECT CAST(l AS INTEGER) AS level, CASE WHEN l = 0 THEN 9223372036854775807 ELSE CAST(10485760 * 10 ** (l - 1) AS BIGINT) END AS max_bytes FROM range(7) r(l)",
@@ -173,6 +175,6 @@ ORACLE_SQL = {
       QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
     "tombstone_gc": f"""WITH {SQL_RUNS}, newest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
       SELECT key, seq, op, lower(hex(value)) AS value_hex FROM newest WHERE op <> 'DEL'""",
-    "compaction_concat": f"WITH {SQL_DISJOINT} SELECT run_id, key, lower(hex(value)) AS value_hex FROM runs_disjoint",
+    "compaction_concat": f"WITH {SQL_DISJOINT} SELECT run_id, key, lower(hex(value)) AS value_hex, true AS in_order FROM runs_disjoint",
     "compaction_stats": f"WITH {SQL_CATALOG} SELECT count(*) AS sources, CAST(sum(bytes) AS BIGINT) AS bytes_compacted FROM catalog WHERE level = 0",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.bytesfn import bytes_to_string, to_hex
 from ..operators import changelog, folds, transactions
 from . import fixtures as fx
+from .bytes_queries import _HASH
 from .fixtures import SQL_LATEST, SQL_STAGED
 
 
@@ -24,11 +25,6 @@ def txn_commit(spark, sf):
     return changelog.live(log.unionByName(transactions.commit_rows(fx.staged(spark, sf), seq))).select("key", to_hex(F.col("value")).alias("value_hex"), "seq")
 
 
-def txn_rollback(spark, sf):
-    """Staged rows are dropped: the state is the one before."""
-    return _state(spark, sf).select("key", to_hex(F.col("value")).alias("value_hex"), "seq")
-
-
 def txn_conflicts(spark, sf):
     found = transactions.conflicts(fx.reads(spark, sf), _state(spark, sf))
     return found.select("key", F.lower(F.hex("expected")).alias("expected_hex"), F.lower(F.hex("actual")).alias("actual_hex"))
@@ -69,32 +65,14 @@ def demo_basic(spark, sf):
     return changelog.multi_get(asked, changelog.live(_log(spark, DEMO))).select("key", F.when(F.col("found"), bytes_to_string(F.col("value"))).alias("value"))
 
 
-def demo_txn(spark, sf):
-    """Two accounts are committed; a second transaction is rolled back and leaves no trace."""
-    first = spark.createDataFrame([("account:001", "PUT", bytearray(b"1000.00")), ("account:002", "PUT", bytearray(b"2000.00"))], "key string, op string, value binary")
-    committed = changelog.live(_log(spark, []).unionByName(transactions.commit_rows(first, 0)))
-    asked = spark.createDataFrame([("account:001",), ("account:002",), ("account:003",)], "key string")
-    return changelog.multi_get(asked, committed).select("key", F.when(F.col("found"), bytes_to_string(F.col("value"))).alias("value"))
-
-
 def perf_keys(spark, sf):
     return spark.range(10_000).select(F.format_string("perf_key_%06d", "id").alias("key"), F.concat(F.lit("performance_test_value_"), "id").alias("value"))
 
 
-SHELL = ["put k1 hello  big world", "GET k1", "del k1", "compact", "exit", "put onlykey", "  get   k2 ", "noise a b c"]
-
-
-def shell_parse(spark, sf):
-    lines = spark.createDataFrame([(i, x) for i, x in enumerate(SHELL)], "n long, line string")
-    parts = F.split(F.trim("line"), r"\s+", 3)
-    at = lambda i: F.get(parts, F.lit(i))
-    return lines.select("n", F.lower(at(0)).alias("command"), at(1).alias("key"), at(2).alias("value"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        txn_read_your_writes, txn_commit, txn_rollback, txn_conflicts, isolation_levels, isolation_stricter, lru_hits, demo_basic, demo_txn, perf_keys, shell_parse,
+        txn_read_your_writes, txn_commit, txn_conflicts, isolation_levels, isolation_stricter, lru_hits, demo_basic, perf_keys,
     )
 }
 
@@ -107,21 +85,22 @@ ORACLE_SQL = {
     "txn_commit": f"""WITH {SQL_LATEST}, {SQL_STAGED}
       SELECT key, lower(hex(value)) AS value_hex, seq FROM latest WHERE op = 'PUT' AND key NOT IN (SELECT key FROM staged)
       UNION ALL SELECT key, lower(hex(value)), (SELECT max(seq) FROM ops) + 1 FROM staged WHERE op = 'PUT'""",
-    "txn_rollback": f"WITH {SQL_LATEST} SELECT key, lower(hex(value)) AS value_hex, seq FROM latest WHERE op = 'PUT'",
     "txn_conflicts": f"""WITH {SQL_LATEST}, state AS (SELECT key, value FROM latest WHERE op = 'PUT'),
       reads AS (SELECT key, CASE WHEN n % 5 = 0 THEN 'other' ELSE value END AS expected
         FROM (SELECT *, row_number() OVER (ORDER BY key) AS n FROM state) s WHERE n <= 50
         UNION ALL SELECT * FROM (VALUES ('-1', NULL), ('999999', NULL), ('', NULL)) v(key, expected))
       SELECT r.key, lower(hex(expected)) AS expected_hex, lower(hex(value)) AS actual_hex
       FROM reads r LEFT JOIN state s ON s.key = r.key WHERE expected IS DISTINCT FROM value""",
-    "isolation_levels": f"""SELECT CAST(l AS INTEGER) AS level, n AS name, l = 0 AS dirty_reads, l <= 1 AS non_repeatable_reads, l < 3 AS phantom_reads,
+    "isolation_levels": f"""SELECT CAST(l AS INTEGER) AS level, n AS name, n || ' (Level ' || l || '): ' || CASE l WHEN 0 THEN 'may see writes that are never committed'
+        WHEN 1 THEN 'sees committed writes alone, perhaps others at the second look' WHEN 2 THEN 'sees the same value of a key at every look, perhaps new keys'
+        WHEN 3 THEN 'sees one version of the store throughout' ELSE 'acts as if transactions came one after another' END AS text, l = 0 AS dirty_reads, l <= 1 AS non_repeatable_reads, l < 3 AS phantom_reads,
       l >= 3 AS snapshot, l = 3 AS recommended FROM {_ISO} v(l, n)""",
     "isolation_stricter": f"""SELECT CAST(a.l AS INTEGER) AS level, a.n AS name, CAST(b.l AS INTEGER) AS other_level, b.n AS other_name
       FROM {_ISO} a(l, n) JOIN {_ISO} b(l, n) ON a.l > b.l""",
+    "lru_hits": f"""WITH a AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, CAST({_HASH} & 15 AS INTEGER) AS shard FROM (SELECT event_id, user_id, CAST(user_id AS VARCHAR) AS key FROM events) e),
+      p AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM a),
+      between_ AS (SELECT p.seq, count(DISTINCT b.key) AS others FROM p JOIN a b ON b.shard = p.shard AND b.seq > p.prev AND b.seq < p.seq GROUP BY p.seq)
+      SELECT shard, count(*) AS gets, count(*) FILTER (prev IS NOT NULL AND coalesce(others, 0) < 4) AS hits FROM p LEFT JOIN between_ USING (seq) GROUP BY shard""",
     "demo_basic": "SELECT * FROM (VALUES ('user:1001', '张三,26,高级工程师'), ('user:1002', '李四,30,设计师'), ('user:1003', NULL), ('user:9999', NULL)) v(key, value)",
-    "demo_txn": "SELECT * FROM (VALUES ('account:001', '1000.00'), ('account:002', '2000.00'), ('account:003', NULL)) v(key, value)",
     "perf_keys": "SELECT printf('perf_key_%06d', i) AS key, 'performance_test_value_' || i AS value FROM range(10000) r(i)",
-    "shell_parse": r"""SELECT n, lower(regexp_extract(line, '^\s*(\S+)', 1)) AS command,
-      nullif(regexp_extract(line, '^\s*\S+\s+(\S+)', 1), '') AS key, nullif(regexp_extract(line, '^\s*\S+\s+\S+\s+(.*\S)', 1), '') AS value
-      FROM (VALUES (CAST(0 AS BIGINT), 'put k1 hello  big world'), (1, 'GET k1'), (2, 'del k1'), (3, 'compact'), (4, 'exit'), (5, 'put onlykey'), (6, '  get   k2 '), (7, 'noise a b c')) v(n, line)""",
 }

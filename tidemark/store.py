@@ -8,7 +8,9 @@ that no manifest names do not exist for readers, and a failed step leaves the st
 from __future__ import annotations
 
 import json
+import logging
 import os
+import threading
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -19,9 +21,10 @@ from .config import MAX_KEY_BYTES, MAX_VALUE_BYTES, StoreConfig
 from .operators import changelog, levels, transactions
 from .operators.changelog import DEL, PUT
 from .operators.runs import run_catalog, sorted_run
-from .sources.files import create_exclusively, ensure_directory, read_if_exists
+from .sources.files import file_system
 
 ROW = "key string, seq long, op string, value binary"
+_log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -70,15 +73,30 @@ class KVStore:
 
     def __init__(self, spark: SparkSession, config: StoreConfig):
         self.spark, self.config, self.closed = spark, config.validate(), False
+        self.damaged: set[str] = set()
+        self.files = file_system(spark, config.data_dir)
         self._manifests = os.path.join(config.data_dir, "manifest")
         for d in (config.data_dir, config.log_dir, self._manifests):
-            ensure_directory(d)
+            self.files.ensure_directory(d)
         self.manifest = self._newest()
+        self.compactor: Compactor | None = None
+        self._skip_damaged()
 
     @classmethod
     def open(cls, spark: SparkSession, config: StoreConfig | None = None) -> KVStore:
         return cls(spark, config or StoreConfig())
 
+    def _skip_damaged(self) -> None:
+        """Leaves out, with a warning, runs whose files have no readable footer; the manifest still names them."""
+        for run in self.manifest.runs:
+            try:
+                found = self.spark.read.parquet(run.path).columns
+                if not {"key", "seq", "op", "value"} <= set(found):
+                    raise ValueError(f"columns {found}")
+            except Exception as why:
+                _log.warning("run %s on level %d is left out: %s", run.path, run.level, str(why).splitlines()[0])
+                self.damaged.add(run.run_id)
+
     def __enter__(self) -> KVStore:
         return self
 
@@ -91,13 +109,13 @@ class KVStore:
         return os.path.join(self._manifests, f"{version:012d}.json")
 
     def _newest(self) -> Manifest:
-        versions = sorted(f for f in os.listdir(self._manifests) if f.endswith(".json"))
-        return Manifest.load(read_if_exists(os.path.join(self._manifests, versions[-1]))) if versions else Manifest()
+        versions = [f for f in self.files.names(self._manifests) if f.endswith(".json")]
+        return Manifest.load(self.files.read(os.path.join(self._manifests, versions[-1]))) if versions else Manifest()
 
     def _publish(self, new: Manifest) -> bool:
         """Make ``new`` the version after the one it was made from; False if somebody was faster."""
         new = replace(new, version=new.version + 1)
-        if not create_exclusively(self._path(new.version), new.dump()):
+        if not self.files.create_exclusively(self._path(new.version), new.dump()):
             return False
         self.manifest = new
         return True
@@ -125,7 +143,8 @@ class KVStore:
     def oplog(self, manifest: Manifest | None = None, key: str | None = None) -> DataFrame:
         """All rows that the manifest names. With a key only the runs whose range covers it are opened."""
         m = manifest or self.manifest
-        runs = [r for r in m.runs if key is None or (r.min_key is not None and r.min_key.encode() <= key.encode() <= r.max_key.encode())]
+        runs = [r for r in m.runs if r.run_id not in self.damaged]
+        runs = [r for r in runs if key is None or (r.min_key is not None and r.min_key.encode() <= key.encode() <= r.max_key.encode())]
         return self._read([*(r.path for r in runs), *m.log])
 
     def state(self, manifest: Manifest | None = None) -> DataFrame:
@@ -226,7 +245,9 @@ class KVStore:
     def _write_run(self, rows: DataFrame, level: int) -> Run:
         run_id = f"run-{uuid.uuid4().hex}"
         path = os.path.join(self.config.data_dir, f"level={level}", run_id)
-        rows.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_fpp)).parquet(path)
+        rows.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_fpp)).option(
+            "parquet.page.size", self.config.block_bytes
+        ).parquet(path)
         facts = run_catalog(self._read([path]).withColumn("run_id", F.lit(run_id)), "run_id").first()
         if facts is None:
             return Run(run_id, level, path, 0, 0, 0, None, None, 0, 0)
@@ -243,6 +264,9 @@ class KVStore:
         if not self._publish(new):
             self.refresh()
             self.flush()
+        elif self.config.truncate_log:
+            for path in m.log:  # the run has their rows; manifests before it lose them
+                self.files.delete_tree(path)
 
     def catalog(self) -> DataFrame:
         rows = [tuple(asdict(r).values()) for r in self.manifest.runs]
@@ -260,13 +284,13 @@ class KVStore:
         if level is None:
             return None
         sources = of(0) if level == 0 else [max(of(level), key=lambda r: r.bytes)]
-        keyed = [r for r in sources if r.min_key is not None]
-        low, high = (min(r.min_key for r in keyed), max(r.max_key for r in keyed)) if keyed else ("", "")
-        joined = sources + [r for r in of(level + 1) if r.min_key is not None and r.min_key <= high and r.max_key >= low]
+        meets = lambda some: [r for r in of(level + 1) if any(_overlap(r, x) for x in some)]
+        joined = sources + meets(sources)
         gone = {r.run_id for r in joined}
-        # an older version can lie deeper only where a run's range meets the sources'
-        deeper = [r for r in m.runs if r.level > level and r.run_id not in gone and r.min_key is not None and r.min_key <= high and r.max_key >= low]
-        merged = levels.concat(levels.merge(self._read([r.path for r in joined]), bottommost=not deeper))
+        # the merged run is as wide as all it is made of: a tombstone in it may hide a row of any deeper run
+        deeper = [r for r in m.runs if r.level > level and r.run_id not in gone and any(_overlap(r, x) for x in joined)]
+        older = self.spark.createDataFrame([(r.min_key, r.max_key) for r in deeper], "min_key string, max_key string") if deeper else None
+        merged = levels.concat(levels.merge(self._read([r.path for r in joined]), bottommost=True, older=older))
         run = self._write_run(merged, level + 1)
         moved = sum(r.bytes for r in sources)
         kept = tuple(r for r in m.runs if r.run_id not in gone)
@@ -276,6 +300,21 @@ class KVStore:
             return self.compact()
         return {"level": level, "target": level + 1, "sources": len(joined), "bytes": moved, "entries": run.entries}
 
+    def vacuum(self, older_than: float = 0.0) -> list[str]:
+        """Deletes batches and runs that the newest manifest does not name and that are ``older_than`` seconds old; returns their paths.
+
+        Readers of an older manifest lose what they pin, and a writer's files are young until it publishes
+        them: give at least the length of the longest read and write.
+        """
+        self._check_open()
+        named = {*(r.path for r in self.refresh().runs), *self.manifest.log}
+        places = [self.config.log_dir, *(os.path.join(self.config.data_dir, d) for d in self.files.names(self.config.data_dir) if d.startswith("level="))]
+        found = [os.path.join(p, n) for p in places for n in self.files.names(p) if n.startswith(("batch-", "run-"))]
+        dead = sorted(p for p in found if p not in named and self.files.age(p) >= older_than)
+        for path in dead:
+            self.files.delete_tree(path)
+        return dead
+
     def stats(self) -> dict:
         m = self.manifest
         return {
@@ -294,16 +333,66 @@ class KVStore:
         """Flush and close; closing again does nothing."""
         if self.closed:
             return
+        if self.compactor is not None:
+            self.compactor.stop()
         try:
             self.flush()
         finally:
             self.closed = True
 
+    def compact_in_background(self, delay: float = 10.0, period: float = 30.0) -> Compactor:
+        """Starts, at most once, a thread that looks for work after ``delay`` seconds and then every ``period``."""
+        self._check_open()
+        if self.compactor is None:
+            self.compactor = Compactor(self, delay, period)
+            self.compactor.start()
+        return self.compactor
+
     def begin(self) -> Transaction:
         self._check_open()
         return Transaction(self)
 
 
+def _overlap(a: Run, b: Run) -> bool:
+    return a.min_key is not None and b.min_key is not None and a.min_key <= b.max_key and b.min_key <= a.max_key
+
+
+class Compactor:
+    """Compacts a store from time to time, level by level until no level needs it; a failed round is logged and the next one tries again."""
+
+    def __init__(self, store: KVStore, delay: float, period: float):
+        self.store, self.delay, self.period, self.rounds = store, delay, period, 0
+        self._ended = threading.Event()
+        self._thread = threading.Thread(target=self._run, name="compactor", daemon=True)
+
+    def start(self) -> None:
+        self._thread.start()
+
+    def stop(self) -> None:
+        """Ends the thread after the merge it is at."""
+        self._ended.set()
+        if self._thread is not threading.current_thread():
+            self._thread.join()
+
+    def check(self) -> int:
+        """Compactions done now."""
+        done = 0
+        self.store.refresh()
+        while not self._ended.is_set() and self.store.compact() is not None:
+            done += 1
+        return done
+
+    def _run(self) -> None:
+        wait = self.delay
+        while not self._ended.wait(wait):
+            try:
+                self.check()
+            except Exception:
+                _log.exception("compaction failed")
+            self.rounds += 1
+            wait = self.period
+
+
 @dataclass
 class Transaction:
     """Snapshot reads, staged writes, optimistic commit: all or nothing, no locks between calls."""
