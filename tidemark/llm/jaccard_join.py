@@ -6,7 +6,7 @@ Chang, "Leveraging set relations in exact set similarity join", 2017, restated f
 * index level: an index list is stored in blocks, one for each band of set sizes, and holds only entries near enough the
   front of their sets. A set looks up the two blocks whose sizes can reach the similarity; the others
   are not read, since the block is part of the join's key;
-* answer level: each list's smallest set is its centre, and the overlap of every entry with it is computed first. The
+* answer level: each list has a centre, and the overlap of every entry with it is computed first. The
   answers of two other entries follow from those: both linked to the centre are one class; distances to the
   centre that differ by more than the limit rule a pair out, for Jaccard distance is a metric. Only pairs
   that neither settles are compared.
@@ -279,7 +279,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest id reachable over links. Equal sets are one set from the start, so copies cost one row a
     task. No link between different sets is lost: two sets that would link share an index list; if they
     are not in one class once the lists' centres have been compared, they meet in the blocks of that list. A list is never
-    gathered: its centre is a minimum, and its blocks meet in a sort-merge join that Spark splits where a block is large.
+    gathered: its centre is an aggregate, and its blocks meet in a sort-merge join that Spark splits where a block is large.
 
     Null text or no word: no shingle, a class of its own; a null id leaves the class to its other members
     (null without any). Repeated rows and ids: each row is returned, with its set's class (for a document
@@ -297,17 +297,25 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep.drop("signed")
     side = lambda k: sketches.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(c).alias(k + c) for c in _PARITY])
 
-    # lists of two sets or more, each with its centre
-    lists = _postings(picked, frequent, None).select("token", "sid").groupBy("token").agg(F.min("sid").alias("centre"), F.max("sid").alias("high"))
-    live = keep.write(lists.where("centre <> high").select("token", "centre"), "live")
+    # lists of two sets or more
+    lists = _postings(picked, frequent, None).select("token", "sid").groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    live = keep.write(lists.where("low <> high").select("token"), "live")
     reclaim(spark)
     entries = _postings(picked, frequent, id_bitmap(live.select(F.expr(cell_of("token")).alias("c"))))
     size, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     # a set's second entry in a list comes from another task that met a copy
     entries = entries.dropDuplicates(["token", "sid"]).join(live, "token")
-    index = keep.write(entries.select("token", "centre", "sid", size.alias("n"), place.alias("pos")), "index")
+    entries = keep.write(entries.select("token", "sid", size.alias("n"), place.alias("pos")), "entries")
     keep.drop("live")
     reclaim(spark)
+    # a list's centre is its set with the largest share of shared elements: the one that others are edited copies of
+    front = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    shared = entries.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).select("sid", F.floor(F.col("c") / front * (1 << 20)).cast("long").alias("share"))
+    rank = F.shiftleft(F.least("share", F.lit(1 << 20)), 40).bitwiseOR(F.col("sid").bitwiseAND(F.lit((1 << 40) - 1)))
+    centres = entries.select("token", "sid").join(shared, "sid").groupBy("token").agg(F.max_by("sid", rank).alias("centre"))
+    index = keep.write(entries.join(centres, "token"), "index")
+    keep.drop("entries")
+    reclaim(spark)
 
     # the answers of the centres
     met = index.where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct()
@@ -342,7 +350,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     rest = found.select(F.greatest("sid", "b_sid").alias("a"), F.least("sid", "b_sid").alias("b")).distinct()
     # what was compared before needs no second look
-    rest = keep.write(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    known = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = keep.write(rest.join(known, ["a", "b"], "left_anti"), "rest")
     keep.drop("mixed")
     reclaim(spark)
     links = keep.write(links.unionByName(_linked(_answers(picked, rest, keep))), "all-links")
