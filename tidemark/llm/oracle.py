@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAN, MEASURES, SPLIT_DEN, SPLIT_NUM
+from .quality_rules import LEAN, MEASURES, SPLIT_DEN, SPLIT_NUM, TAIL
 
 
 def _fences(name: str, sketch: str, keys: str) -> str:
     by = f"{keys}, m" if keys else "m"
-    floor = "CASE WHEN b < 64 THEN b ELSE (b - 32 * (b // 32 - 1)) << (b // 32 - 1) END"
-    return f"""{name}_ranks AS (SELECT {by}, v, lead(v) OVER (PARTITION BY {by} ORDER BY b) AS next, CAST(sum(n) OVER w AS DOUBLE) AS w0, CAST(sum(n * v) OVER w AS DOUBLE) AS s0,
+    floor = lambda b: f"CASE WHEN {b} < 64 THEN {b} ELSE ({b} - 32 * ({b} // 32 - 1)) << ({b} // 32 - 1) END"
+    return f"""{name}_ranks AS (SELECT {by}, v, stop, lead(v) OVER (PARTITION BY {by} ORDER BY b) AS next, CAST(sum(n) OVER w AS DOUBLE) AS w0, CAST(sum(n * v) OVER w AS DOUBLE) AS s0,
   CAST(sum(n) OVER (PARTITION BY {by}) AS BIGINT) AS total, CAST(sum(n * v) OVER (PARTITION BY {by}) AS DOUBLE) AS s, CAST(sum(CAST(n * v AS HUGEINT) * v) OVER (PARTITION BY {by}) AS DOUBLE) AS q
-  FROM (SELECT *, {floor} AS v FROM {sketch}) p WINDOW w AS (PARTITION BY {by} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  FROM (SELECT *, {floor("b")} AS v, {floor("(b + 1)")} - 1 AS stop FROM {sketch}) p WINDOW w AS (PARTITION BY {by} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {name}_cuts AS (SELECT *, CAST(total AS DOUBLE) AS d, q - s * s / CAST(total AS DOUBLE) AS spread,
-  CASE WHEN next IS NOT NULL THEN (s * w0 - CAST(total AS DOUBLE) * s0) * (s * w0 - CAST(total AS DOUBLE) * s0) / (CAST(total AS DOUBLE) * w0 * (CAST(total AS DOUBLE) - w0)) END AS between_ FROM {name}_ranks),
-{name} AS (SELECT {by}, total, CASE WHEN coalesce({SPLIT_DEN} * between_ >= {SPLIT_NUM} * spread, false) THEN (v + next) // 2 ELSE max(v) OVER (PARTITION BY {by}) END AS fence
+  CASE WHEN next IS NOT NULL AND {TAIL} * (CAST(total AS DOUBLE) - w0) <= CAST(total AS DOUBLE) THEN (s * w0 - CAST(total AS DOUBLE) * s0) * (s * w0 - CAST(total AS DOUBLE) * s0) / (CAST(total AS DOUBLE) * w0 * (CAST(total AS DOUBLE) - w0)) END AS between_ FROM {name}_ranks),
+{name} AS (SELECT {by}, total, CASE WHEN coalesce({SPLIT_DEN} * between_ >= {SPLIT_NUM} * spread, false) THEN (stop + next) // 2 ELSE max(stop) OVER (PARTITION BY {by}) END AS fence
   FROM {name}_cuts QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY between_ DESC NULLS LAST, v) = 1)"""
 
 

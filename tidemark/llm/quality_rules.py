@@ -16,6 +16,8 @@ SYMBOLS = "[#*$%&|<>]"
 MEASURES = ["symbol_pm", "upper_pm", "dup_line_pm", "repeat_pm", "mean_len_10"]
 #: A sketch is split where its two parts explain this share of its variance: more than halves of an even spread do.
 SPLIT_NUM, SPLIT_DEN = 3, 4
+#: A threshold is an upper quantile: one in TAIL documents of the group lies above it at most. What more do is no exception.
+TAIL = 4
 #: Documents' worth of its language's threshold that a source's leans on, and a language's of the one of all.
 LEAN = 100
 
@@ -130,7 +132,7 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, m, total, fence): where a group's sketch falls into two parts, or its largest value where it does not.
 
     The level of the threshold quantile is not fixed: it is the one at which cutting the sketch in two leaves the
-    least variance inside the parts (Otsu 1979, on bucket counts), and it holds only if the parts explain
+    least variance inside the parts (Otsu 1979, on bucket counts) among those with one in TAIL documents above or fewer, and it holds only if the parts explain
     SPLIT_NUM / SPLIT_DEN of the variance or more. The fence lies half-way between the two buckets at the cut. Sums are whole numbers, so
     any order of merging gives the same fence. A sketch has some hundred buckets, whatever its documents.
     """
@@ -142,6 +144,7 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         "m",
         "v",
+        (bucket_floor(F.col("b") + 1).cast("long") - 1).alias("end"),
         F.lead("v").over(in_order).alias("next"),
         F.sum("n").over(up_to).cast("double").alias("w0"),
         F.sum(F.col("n") * v).over(up_to).cast("double").alias("s0"),
@@ -151,13 +154,14 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
     w = F.col("total").cast("double")
     apart = F.col("s") * F.col("w0") - w * F.col("s0")
-    between = F.when(F.col("next").isNotNull(), apart * apart / (w * F.col("w0") * (w - F.col("w0"))))
+    upper = F.col("next").isNotNull() & (TAIL * (w - F.col("w0")) <= w)
+    between = F.when(upper, apart * apart / (w * F.col("w0") * (w - F.col("w0"))))
     spread = F.col("q") - F.col("s") * F.col("s") / w
     best = ranked.groupBy(*keys, "m").agg(
-        F.max(F.struct(between.alias("between"), (-v).alias("low"), "next")).alias("x"), F.max("v").alias("top"), F.max("total").alias("total"), F.max(spread).alias("spread")
+        F.max(F.struct(between.alias("between"), (-v).alias("low"), "end", "next")).alias("x"), F.max("end").alias("top"), F.max("total").alias("total"), F.max(spread).alias("spread")
     )
     clear = F.coalesce(SPLIT_DEN * F.col("x.between") >= SPLIT_NUM * F.col("spread"), F.lit(False))
-    return best.select(*keys, "m", "total", F.when(clear, F.expr("(x.next - x.low) div 2")).otherwise(F.col("top")).alias("fence"))
+    return best.select(*keys, "m", "total", F.when(clear, F.expr("(x.next + x.end) div 2")).otherwise(F.col("top")).alias("fence"))
 
 
 def _leaning(own: str, total: str, broader: str) -> Column:
