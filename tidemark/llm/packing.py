@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BINARY, LONG, running_totals, schema, stage
+from ._common import BINARY, LONG, running_totals, schema, small_batches, stage
 from .token_counts import SPACES, _byte_letters
 
 SEQUENCE = 2048
@@ -194,6 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str =
     have the end id alone. Null or repeated ids and repeated rows: each row is packed once (row numbers
     of the staged table tell them apart). Empty table: empty result. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     staged = stage(tokenised(docs, tokenizer, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "ids")
     places = running_totals(staged.select("row", "curve", "doc_tokens"), ["curve", "row"], {"place": "doc_tokens"}).select("row", "place")
     out = schema(

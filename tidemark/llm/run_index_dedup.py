@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import BOOL, LONG, STRING, cut, schema, stage
+from ._common import BOOL, LONG, STRING, cut, schema, small_batches, stage
 from .jaccard_join import _mix, _powers
 
 WINDOW = 200
@@ -29,6 +29,8 @@ GRAM = 32
 INDEX_BYTES = 1 << 20
 #: Groups with more different passages (about 1.5 MB) are dealt out by window instead of indexed in one task.
 MAX_GROUP = 4096
+#: Passages that a task remembers to have met.
+REMEMBERED = 1 << 21
 #: Long texts are read in blocks of this many bytes, which overlap by a window.
 BLOCK = 1 << 21
 
@@ -165,7 +167,7 @@ def _find_passages(keyed: DataFrame) -> DataFrame:
     out = schema(gram=LONG, content=LONG, key=LONG, span=LONG, fresh=BOOL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, bool] = {}
+        met: dict[int, bool] = {}  # bounded: a task that starts anew is like two tasks
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -187,6 +189,8 @@ def _find_passages(keyed: DataFrame) -> DataFrame:
                     if not state:
                         met[c] = True
                         twice.append(i)
+                if len(met) > REMEMBERED:
+                    met.clear()
                 columns = [np.append(gram, gram[twice]), np.append(content, content[twice])]
                 gone = np.append(np.zeros(len(key), bool), np.ones(len(twice), bool))
                 yield pa.RecordBatch.from_arrays(
@@ -288,6 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document of its own, so equal rows of WINDOW bytes or more lose all. Empty table: empty result. Extra
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.length(text)).alias("key"))
     each = stage(_find_passages(keyed), "passages")
