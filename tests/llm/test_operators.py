@@ -577,13 +577,12 @@ def test_page_language_id(spark, tmp_path):
         assert [got[at + i]["language"] for i in range(2)] == ["fr", "de"], at
 
 
-def test_quality_classifier_brute_force(spark, monkeypatch):
+def test_quality_classifier_brute_force(spark):
     """Word vectors and pooled texts recomputed word by word, scores by a network fitted anew on them."""
     import numpy as np
 
     from tidemark.llm import quality_classifier as q
 
-    monkeypatch.setattr(q, "ROWS", 97)
     rnd = random.Random(8)
     texts = [None, "", "A!! 12", "One one\nline line\nline line"] + [("### " if i % 3 == 0 else "") + sentence(rnd, rnd.randrange(1, 40), 30) + "\n" + sentence(rnd, 3, 4) for i in range(120)]
     ids = list(range(len(texts)))
@@ -600,7 +599,7 @@ def test_quality_classifier_brute_force(spark, monkeypatch):
                 lines.add(line)
         tokens.append(own)
         assert q.TokenRows()(t or "").tolist() == own
-    table = np.zeros((97, q.DIM))
+    table = np.zeros((q.ROWS, q.DIM))
     for own in tokens:
         for i, a in enumerate(own):
             for j in range(max(0, i - q.SPAN), min(len(own), i + q.SPAN + 1)):

@@ -17,6 +17,8 @@ from ._common import BOOL, DOUBLE, INT, LONG, cut, schema, small_batches
 ROWS, DIM = 16_384, 32
 #: Non-zero places of a word's index vector, and tokens on each side that are its context.
 NONZERO, SPAN = 4, 3
+#: Tokens whose neighbours are added up at a time.
+TOKENS = 1 << 17
 #: Numbers of a pooled text: mean and spread of its tokens' vectors, logarithm of how many there are.
 POOLED = 2 * DIM + 1
 #: Labelled documents that the network is fitted on, at most: those with the smallest hash of their id.
@@ -97,23 +99,32 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
-        number, total = TokenRows(), np.zeros(ROWS * DIM)
+        own = np.zeros((ROWS + 1, DIM), np.float32)  # the last row stands for the gap between texts
+        np.add.at(own, (np.repeat(np.arange(ROWS), NONZERO), place.reshape(-1)), sign.reshape(-1))
+        number, total = TokenRows(), np.zeros((ROWS + 1, DIM))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                gap = np.full(SPAN, -1)
+            for at in range(0, whole.num_rows, 256):
+                gap = np.full(SPAN, ROWS)
                 parts: list[np.ndarray] = []
-                for t in whole.column(0).slice(at, 1024).to_pylist():
+                for t in whole.column(0).slice(at, 256).to_pylist():
                     if t:
                         parts += [number(t), gap]
                 if not parts:
                     continue
-                rows = np.concatenate(parts)
-                for far in range(1, SPAN + 1):
-                    for a, b in ((rows[far:], rows[:-far]), (rows[:-far], rows[far:])):
-                        ok = (a > 0) & (b > 0)
-                        a, b = a[ok] * DIM, b[ok]
-                        for k in range(NONZERO):
-                            total += np.bincount(a + place[b, k], sign[b, k], ROWS * DIM)
+                every = np.concatenate(parts).astype(np.uint16)
+                for low in range(0, len(every), TOKENS):  # with the neighbours of the first and the last one
+                    start, stop = max(0, low - SPAN), min(len(every), low + TOKENS + SPAN)
+                    rows = every[start:stop]
+                    vectors, around = own[rows], np.zeros((len(rows), DIM), np.float32)
+                    for far in range(1, SPAN + 1):
+                        around[far:] += vectors[:-far]
+                        around[:-far] += vectors[far:]
+                    rows, around = rows[low - start : low - start + TOKENS], around[low - start : low - start + TOKENS]
+                    order = np.argsort(rows, kind="stable")
+                    by_row = rows[order]
+                    heads = np.flatnonzero(np.concatenate([[True], by_row[1:] != by_row[:-1]]))
+                    total[by_row[heads]] += np.add.reduceat(around[order], heads, axis=0)
+        total = total[:ROWS]
         table = total.reshape(ROWS, DIM).astype(np.int64)
         used = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(table[used]), pa.list_(pa.field("element", pa.int64(), False)))], out.names)
