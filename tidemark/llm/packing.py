@@ -27,8 +27,8 @@ BITS = 16
 #: Hashed coordinates of a document's vector, before the projection.
 COORDINATES = 4096
 #: Words, and pieces of words, whose ids a worker remembers (two generations of this many).
-MEMO_WORDS = 450_000
-MEMO_PIECES = 250_000
+MEMO_WORDS = 250_000
+MEMO_PIECES = 120_000
 
 _WORD = re.compile(f"[^{SPACES}]+")
 
