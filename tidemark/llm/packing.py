@@ -94,6 +94,12 @@ class WordTokenizer:
             return self.pieces[low[:-1]] + self.pieces[low[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split.findall(low)))
 
+    def forget(self) -> None:
+        """Gives back the memory of words: a worker process outlives its task and may serve quite another one next."""
+        for memo in (self.words, self.pieces):
+            memo.clear()
+            memo.old = {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known, words = self.words.__getitem__, _WORD.findall
@@ -159,17 +165,20 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = word_tokenizer(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                raw = machine.ids([t or "" for t in batch.column(1).to_pylist()])
-                ids = [np.frombuffer(r, "<u4") for r in raw]
-                keys = curve_keys(ids)
-                ended = [np.append(i, np.uint32(END_ID)) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(i) for i in ended], pa.int64()), pa.array([_narrow(i) for i in ended], pa.binary())],
-                    ["doc_id", "curve", "doc_tokens", "ids"],
-                )
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    raw = machine.ids([t or "" for t in batch.column(1).to_pylist()])
+                    ids = [np.frombuffer(r, "<u4") for r in raw]
+                    keys = curve_keys(ids)
+                    ended = [np.append(i, np.uint32(END_ID)) for i in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(i) for i in ended], pa.int64()), pa.array([_narrow(i) for i in ended], pa.binary())],
+                        ["doc_id", "curve", "doc_tokens", "ids"],
+                    )
+        finally:
+            machine.forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
 
