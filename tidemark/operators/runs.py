@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import encode_block
+from ..functions.blocks import encode_block, find_block
 from ..functions.codec import block_entry_size, encode_entry
 from .changelog import DEL, PUT, latest
 
+#: Blocks of an index page: an index of the largest allowed size has under 400 pages.
+PAGE = 256
+
 
 def sorted_run(tail: DataFrame) -> DataFrame:
     """Rows of a flush: the newest row of each key, tombstones kept, in key order over range partitions."""
@@ -86,3 +89,19 @@ def block_index(split: DataFrame) -> DataFrame:
     per = split.groupBy("run_id", "block_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("entries"), F.sum("size").alias("bytes"))
     before = Window.partitionBy("run_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
     return per.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+
+
+def place(keys: DataFrame, index: DataFrame, page: int = PAGE) -> DataFrame:
+    """(run_id, key, block_id): the one block of each run that can hold the key, -1 before the first.
+
+    A run's index is a tree of two levels: a binary search over the first keys of its pages picks the page, one inside the
+    page the block. Only the pages' first keys, one in ``page`` of the index, are broadcast; a lookup meets one page, not the whole index.
+    """
+    paged = index.withColumn("page", F.expr(f"block_id div {page}"))
+    pages = paged.groupBy("run_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "first_key"))), lambda x: x["first_key"]).alias("firsts"))
+    fences = paged.where(F.col("block_id") % page == 0).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "first_key"))), lambda x: x["first_key"]).alias("fences"))
+    asked = keys.select("key").crossJoin(F.broadcast(fences))  # one row a run
+    asked = asked.select("run_id", "key", find_block(F.col("fences"), F.col("key")).cast("long").alias("page"))
+    found = asked.join(pages.hint("merge"), ["run_id", "page"], "left")
+    inside = F.col("page") * page + find_block(F.col("firsts"), F.col("key"))
+    return found.select("run_id", "key", F.when(F.col("page") < 0, F.lit(-1)).otherwise(inside).cast("long").alias("block_id"))

@@ -67,10 +67,7 @@ def block_decode(spark, sf):
 def block_get(spark, sf):
     """Every key of ``keys`` asked of the one block of each run that can hold it, found by binary search in the index."""
     split = _split(spark, sf)
-    index = run_ops.block_index(split).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "first_key"))).alias("blocks"))
-    first = F.transform("blocks", lambda x: x["first_key"])
-    asked = fx.keys(spark, sf).crossJoin(F.broadcast(index))  # eight runs
-    placed = asked.select("run_id", "key", bl.find_block(first, F.col("key")).cast("long").alias("block_id"))
+    placed = run_ops.place(fx.keys(spark, sf), run_ops.block_index(split))
     held = run_ops.block_bytes(fx.runs(spark, sf), split).select("run_id", "block_id", bl.decode_block(F.col("raw"))["entries"].alias("entries"))
     found = placed.join(held, ["run_id", "block_id"], "left")
     value = codec.decode_entry(bl.block_get(F.col("entries"), F.col("key")))["value"]
