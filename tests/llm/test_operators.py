@@ -252,6 +252,31 @@ def test_jaccard_join_chains(spark):
     assert len({root[i] for i in range(40)}) < 40 and len({root[i] for i in range(40, len(texts))}) < 10
 
 
+@pytest.mark.parametrize("carried", [16, 2])
+def test_jaccard_join_yields_a_pair_once(spark, carried, monkeypatch):
+    """Copies of one page that differ about as much as links allow share many lists; a pair came once for each of them."""
+    from tidemark.llm import jaccard_join as j4
+
+    monkeypatch.setattr(j4, "CARRIED", carried)
+    rnd = random.Random(17)
+    page = [f"q{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        words = page.copy()
+        for at in rnd.sample(range(150), 3):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    met, plain = [], j4._met
+    monkeypatch.setattr(j4, "_met", lambda mixed: met.append([tuple(sorted(r)) for r in plain(mixed).select("sid", "b_sid").collect()]) or plain(mixed))
+    table = spark.createDataFrame([(i, t, "en", "s", 1, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in j4.similarity_classes(table).collect()}
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(146)) for t in texts]
+    assert got == linked_classes(sets, list(range(60)), lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    assert met[0]
+    if carried == 16:
+        assert len(met[0]) == len(set(met[0]))
+
+
 def test_line_dedup(spark, docs, rows, none):
     from tidemark.llm.line_dedup import dedup_lines, jaccard
 

@@ -31,6 +31,8 @@ NUM, DEN = 80, 100
 
 #: Shingles whose cell holds more index entries than this go to the end of the global order.
 FREQUENT = 32
+#: Entries that a set carries of the lists left, for a pair to be yielded by the first list that it shares.
+CARRIED = 16
 #: Texts are hashed in blocks of this many bytes.
 BLOCK = 1 << 22
 
@@ -272,6 +274,25 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
 
 
+def _met(mixed: DataFrame) -> DataFrame:
+    """Rows of two sets of different classes that meet in a list and that nothing rules out; most pairs come once, however many lists they share."""
+    # of a linked pair, the smaller set has its first common element in the front: enough elements follow it there
+    block = mixed.where((DEN + NUM) * (F.col("n") - F.col("pos")) >= 2 * NUM * F.col("n"))
+    block = block.select("token", "band", *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "root", "far", "firsts", *_PARITY)])
+    probe = mixed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    other = F.col("root") != F.col("b_root")
+    smaller = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_sid") < F.col("sid")))
+    ahead = _enough(F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")), F.col("n"), F.col("b_n"))
+    # what the centre's answers say: distances to it that differ by more than the limit (null: not compared)
+    derived = ~F.coalesce(F.abs(F.col("far") - F.col("b_far")) > 1 - NUM / DEN + 1e-9, F.lit(False))
+    # the first list that both carry yields the pair: entries follow one order in all sets, so it lets through whatever the
+    # later lists do, unless its centre's answers rule the pair out. Pairs that carry none in common may come several times
+    once = F.coalesce(F.get(F.array_intersect("firsts", "b_firsts"), F.lit(0)) == F.col("token"), F.lit(True))
+    return probe.join(block, ["token", "band"]).where(
+        other & smaller & _near_sizes(F.col("n"), F.col("b_n")) & ahead & derived & _not_too_far(_apart("", "b_"), F.col("n"), F.col("b_n")) & once
+    )
+
+
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, row_key and is_first (the class's row with the smallest id) of every document.
 
@@ -331,23 +352,16 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classed = index.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     spread = classed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     told = answers.select(F.col("a").alias("sid"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
-    mixed = classed.join(spread.select("token", "low"), "token").join(told, ["sid", "centre"], "left").join(sketches.drop("n"), "sid")
+    mixed = keep.write(classed.join(spread.select("token"), "token").join(told, ["sid", "centre"], "left"), "spread")
+    # a set's first lists among those left, in the order of its entries
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))  # no more than the set's front
+    firsts = mixed.groupBy("sid").agg(F.transform(F.slice(ordered, 1, CARRIED), lambda x: x["token"]).alias("firsts"))
+    mixed = mixed.join(firsts.join(sketches.drop("n"), "sid"), "sid")
     mixed = mixed.withColumn("far", F.when(F.col("sid") == F.col("centre"), 0.0).otherwise(F.col("far")))
     mixed = keep.write(mixed.withColumn("band", _band(F.col("n"))), "mixed")
-    keep.drop("index")
+    keep.drop("index", "spread")
     reclaim(spark)
-    # of a linked pair, the smaller set has its first common element in the front: enough elements follow it there
-    block = mixed.where((DEN + NUM) * (F.col("n") - F.col("pos")) >= 2 * NUM * F.col("n"))
-    block = block.select("token", "band", *[F.col(c).alias("b_" + c) for c in ("sid", "n", "pos", "root", "far", *_PARITY)])
-    probe = mixed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    other = F.col("root") != F.col("b_root")
-    smaller = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_sid") != F.col("sid")))
-    ahead = _enough(F.least(F.col("n") - F.col("pos"), F.col("b_n") - F.col("b_pos")), F.col("n"), F.col("b_n"))
-    # what the centre's answers say: distances to it that differ by more than the limit (null: not compared)
-    derived = ~F.coalesce(F.abs(F.col("far") - F.col("b_far")) > 1 - NUM / DEN + 1e-9, F.lit(False))
-    found = probe.join(block, ["token", "band"]).where(
-        other & smaller & _near_sizes(F.col("n"), F.col("b_n")) & ahead & derived & _not_too_far(_apart("", "b_"), F.col("n"), F.col("b_n"))
-    )
+    found = _met(mixed)
     rest = found.select(F.greatest("sid", "b_sid").alias("a"), F.least("sid", "b_sid").alias("b")).distinct()
     # what was compared before needs no second look
     known = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
