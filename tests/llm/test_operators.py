@@ -338,6 +338,21 @@ def test_line_dedup_weak_links(spark):
     assert {r["doc_id"]: r["n_removed"] for r in dedup_lines(table).collect()} == {i: int(root[i] != i) for i in range(len(lines))}
 
 
+def test_line_similarity_of_batches():
+    """Answers for many pairs at once are those of the sets, also for very large alphabets."""
+    from tidemark.llm.line_dedup import SIMILARITY, jaccard, similar
+
+    rnd = random.Random(8)
+    for letters in ("ab ", "abc é日😀", [chr(0x4E00 + i) for i in range(9000)]):
+        own = ["".join(rnd.choice(letters) for _ in range(n)) for n in (0, 1, 4, 5, 6, *[rnd.randrange(20, 200) for _ in range(60)])]
+        if len(letters) == 9000:
+            own.append("".join(letters))
+        other = [x[:at] + "#" * n + x[at + n :] for x in own for at, n in [(rnd.randrange(len(x) + 1), rnd.randrange(6))]]
+        a, b = [*own, *own, ""], [*other, *reversed(own), ""]
+        assert similar(a, b) == [jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
+    assert similar([], []) == []
+
+
 @pytest.mark.parametrize("group", [4096, 1])
 def test_run_index_dedup(docs, rows, none, group, monkeypatch):
     from tidemark.llm import run_index_dedup as r3

@@ -89,6 +89,47 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _shingle_codes(lines: list[str]) -> list[np.ndarray] | None:
+    """Shingles of each line, ascending, each once, as numbers that are equal only for equal shingles.
+
+    A character counts as its place in the alphabet of ``lines``, a shingle as a number of SHINGLE digits; None if the
+    alphabet is so large that such a number has over 63 bits.
+    """
+    padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[c] = True
+    digits = int(used.sum())
+    if digits**SHINGLE >= 1 << 63:
+        return None
+    digit = (np.cumsum(used) - 1)[c]
+    code = np.zeros(max(0, len(c) - SHINGLE + 1), np.int64)
+    for j in range(SHINGLE):
+        code = code * digits + digit[j : len(c) - SHINGLE + 1 + j]
+    out, at = [], 0
+    for x in padded:
+        own = np.sort(code[at : at + len(x) - SHINGLE + 1])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at += len(x)
+    return out
+
+
+def similar(a: list[str], b: list[str]) -> list[bool]:
+    """Whether ``jaccard`` of each two lines reaches the similarity; a line that comes several times is cut up once."""
+    place = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    sets = _shingle_codes(list(place)) if place else []
+    if sets is None:
+        return [jaccard(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)]
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = sets[place[x]], sets[place[y]]
+        both = np.concatenate([p, q])
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        out.append(common / (len(both) - common) >= SIMILARITY)
+    return out
+
+
 def _once(line: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which elements are the only one, or one chosen one, of those equal in line and hash.
 
@@ -249,7 +290,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = similar(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, schema(a=LONG, b=LONG))
